@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, langid, mixing, neardup, sharding
+from tallyloom.llm import decontaminate, langid, mixing, neardup, neighbours, pii, repeats, sharding
 from tallyloom.llm.common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mix(spark, sf_dir):
     return mixing.balance(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,7 +34,11 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op9_decontaminate)}
+def op10_suffix_dedup(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op4_source_mix": """
