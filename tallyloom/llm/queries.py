@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, langid, mixing, neardup, neighbours, pii, repeats, sharding
+from tallyloom.llm import decontaminate, langid, lm, mixing, neardup, neighbours, pii, repeats, sharding
 from tallyloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_virtual_slots(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op8_context_mixing(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +42,7 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op4_source_mix": """
