@@ -90,7 +90,10 @@ def match_terms(text: Column, mode: str = "all") -> Column:
     """struct<terms array<struct<term, prefix>>, mode>: the last term is a prefix when the text ends in a token."""
     toks = query_tokens(text)
     open_end = text.rlike(r"[\p{L}\p{N}_$@]$")
-    terms = F.transform(toks, lambda t, i: F.struct(t.alias("term"), ((i == F.size(toks) - 1) & open_end).alias("prefix")))
+    plain = F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(False).alias("prefix")))
+    # only the last term is touched, so that the tokens aren't counted anew for each of them
+    last = F.array(F.struct(F.element_at(toks, -1).alias("term"), F.lit(True).alias("prefix")))
+    terms = F.when(open_end & (F.size(toks) > 0), F.concat(F.slice(plain, 1, F.greatest(F.size(toks) - 1, F.lit(0))), last)).otherwise(plain)
     return F.struct(terms.alias("terms"), F.lit(mode).alias("mode"))
 
 

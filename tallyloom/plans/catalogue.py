@@ -1,7 +1,7 @@
 """All queries of the reference operators by name, and their SQL."""
 
-from tallyloom.plans import stores, telemetry
+from tallyloom.plans import stores, structure, telemetry
 
-MODULES = (telemetry, stores)
+MODULES = (telemetry, stores, structure)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

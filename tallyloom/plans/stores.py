@@ -289,7 +289,10 @@ def f12_f15_page_functions(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.estimate_tokens(p).alias("tokens"), C.clamp(p, 10).alias("short"), p.startswith("blog.").alias("blog"), C.normalize_identity(p).alias("identity"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_$@]+')) AS n_tokens, coalesce(array_to_string(ordered[1:24], ' '), '') AS terms FROM (SELECT doc_id, text, (SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(a) AS t, generate_subscripts(a, 1) AS i FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS a)) WHERE len(t) >= 3 AND t NOT IN ('and','are','but','for','from','has','have','how','into','its','not','our','that','the','their','them','then','there','this','use','was','what','when','where','which','who','why','will','with','you','your') GROUP BY t)) AS ordered FROM documents)""")
+@query("""WITH t AS (SELECT doc_id, lower(unnest(a)) AS t, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS a FROM documents)),
+f AS (SELECT doc_id, t, min(i) AS i FROM t WHERE len(t) >= 3 AND t NOT IN ('and','are','but','for','from','has','have','how','into','its','not','our','that','the','their','them','then','there','this','use','was','what','when','where','which','who','why','will','with','you','your') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f), g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS terms FROM r WHERE r <= 24 GROUP BY 1)
+SELECT d.doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_$@]+')) AS n_tokens, coalesce(terms, '') AS terms FROM documents d LEFT JOIN g USING (doc_id)""")
 def f6_f7_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(C.match_terms(F.col("text"))["terms"]).cast("long").alias("n_tokens"), F.array_join(C.context_terms(F.col("text")), " ").alias("terms"))
