@@ -14,8 +14,8 @@ def _k():
     return F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("long")
 
 
-def calls(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def calls(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     bad = F.col("event_type") == "error"
     return e.select(
         F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.concat(F.lit("b"), (F.col("user_id") % 7).cast("string")).alias("backend"),
@@ -32,8 +32,8 @@ CALLS = """calls AS (
   FROM events)"""
 
 
-def usage(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+def usage(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    e = (table(spark, sf_dir, "events") if events is None else events).withColumn("k", _k())
     some = F.when(F.col("k") % 10 == 0, F.create_map(F.lit("request_count"), (F.col("k") % 4 + 1).cast("string")))
     return e.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider_id"),
