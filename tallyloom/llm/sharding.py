@@ -58,16 +58,17 @@ def first_map(stats: list[tuple[int, int, int]], shards: int = SHARDS, slots: in
 def rebalance(old: dict[int, int], stats: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
     """An edited map: slots move, one at a time, from the fullest shard to the emptiest while that narrows the gap.
 
-    With one more shard than before, only that shard is below its share at first, so it takes from all others.
+    When shards are added, slots move into the new ones only.
     """
     size = {v: b for v, b, _ in stats}
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
     new = dict(old)
+    takers = set(range(shards)) - set(old.values()) or set(range(shards))
     for v in sorted(size):
         held[new[v]].append(v)
     load = {s: sum(size[v] for v in vs) for s, vs in held.items()}
     for _ in range(len(size)):
-        full, low = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
+        full, low = max(load, key=lambda s: (load[s], -s)), min(takers, key=lambda s: (load[s], s))
         gap = load[full] - load[low]
         fit = [v for v in held[full] if 0 < size[v] < gap]
         if not fit:
