@@ -83,7 +83,7 @@ def normalize_package(name: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Runs of letters, digits, `_`, `$` and `@`, folded."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_$@]+)"), 1), lambda t: F.lower(t))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_$@]+)"), 1)
 
 
 def match_terms(text: Column, mode: str = "all") -> Column:

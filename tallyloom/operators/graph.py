@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scratch import materialize
 
+#: Hops of a closure between two writes.
+STEPS = 3
+
 
 def eligible_edges(rows: DataFrame, manifest: bool = False) -> DataFrame:
     """Resolved semantic edges (and manifest metadata when asked) with both ends, one a (source, target, table)."""
@@ -70,8 +73,11 @@ def strong_components(deps: DataFrame) -> DataFrame:
     while True:
         n = live.count()
         while n:
-            kept = live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            kept = materialize(kept.join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            kept = live
+            for _ in range(STEPS):
+                kept = kept.join(kept.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+                kept = kept.join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+            kept = materialize(kept)
             m = kept.count()
             live = kept
             if m == n:
@@ -82,17 +88,23 @@ def strong_components(deps: DataFrame) -> DataFrame:
         nodes = live.select(F.col("source").alias("node")).unionByName(live.select(F.col("target").alias("node"))).distinct()
         colour = materialize(nodes.withColumn("c", F.col("node")))
         while True:
-            sent = live.join(colour, F.col("source") == F.col("node")).groupBy("target").agg(F.min("c").alias("m"))
-            new = materialize(colour.join(sent, F.col("node") == F.col("target"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            new = colour.select("node", "c", F.col("c").alias("old"))
+            for _ in range(STEPS):
+                sent = live.join(new, F.col("source") == F.col("node")).groupBy("target").agg(F.min("c").alias("m"))
+                new = new.join(sent, F.col("node") == F.col("target"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), "old")
+            new = materialize(new)
             colour = new.select("node", "c")
-            if not new.filter("moved").limit(1).count():
+            if not new.filter("c < old").limit(1).count():
                 break
         a, b = colour.select(F.col("node").alias("source"), F.col("c").alias("cs")), colour.select(F.col("node").alias("target"), F.col("c").alias("ct"))
         inner = materialize(live.join(a, "source").join(b, "target").filter("cs = ct").select("source", "target", "cs"))
         found = front = materialize(colour.filter("node = c"))
         while True:
-            back = inner.join(front, (F.col("target") == F.col("node")) & (F.col("cs") == F.col("c"))).select(F.col("source").alias("node"), "c").distinct()
-            front = materialize(back.join(found, ["node", "c"], "left_anti"))
+            near = front
+            for _ in range(STEPS):
+                back = inner.join(near, (F.col("target") == F.col("node")) & (F.col("cs") == F.col("c"))).select(F.col("source").alias("node"), "c")
+                near = near.unionByName(back).distinct()
+            front = materialize(near.join(found, ["node", "c"], "left_anti"))
             if not front.limit(1).count():
                 break
             found = found.unionByName(front)
@@ -142,8 +154,10 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     e = materialize(edges.select("source", "target").distinct())
     seen = front = materialize(start.select("node").distinct())
     while True:
-        nxt = e.join(front, F.col("source") == F.col("node")).select(F.col("target").alias("node")).distinct()
-        front = materialize(nxt.join(seen, "node", "left_anti"))
+        near = front
+        for _ in range(STEPS):
+            near = near.unionByName(e.join(near, F.col("source") == F.col("node")).select(F.col("target").alias("node"))).distinct()
+        front = materialize(near.join(seen, "node", "left_anti"))
         if not front.limit(1).count():
             return seen
         seen = seen.unionByName(front)
