@@ -4,12 +4,13 @@
    size of its shingle set, BANDS band hashes of ROWS minima each, and B low bits of all minima packed.
 2. Documents of one word sequence are one class (smallest doc_id); only classes go on.
 3. Classes that share a band are candidates. Within a bucket the packed bits are compared by bit counts,
-   corrected for chance collisions, and every class proposes its most similar partners that are not yet in
-   its component: 2, then 8, then all that could reach the threshold. Proposals are confirmed on full shingle
-   sets, confirmed links joined to components, and buckets of one component are done. So the work follows
-   the number of classes, while no candidate pair between two components stays unchecked.
-   Buckets of more than BLOCK classes are cut into blocks; in later rounds the few classes outside the
-   bucket's main component visit every block.
+   corrected for chance collisions, and every class proposes its most similar partner. Proposals are
+   confirmed on full shingle sets and confirmed links joined to components; buckets of one component are done.
+   In the others the classes outside the main component propose 4 more, and at last they are compared, on full
+   sets and inside the task, with every class of another component that could reach the threshold; only links
+   are given out. So rows follow the number of classes, while no candidate pair between two components
+   stays unchecked.
+   Buckets of more than BLOCK classes are cut into blocks; the asking classes visit every block.
 
 With 36 bands of 5 minima, a pair at similarity 0.8 shares no band with probability 6e-7; the estimate's
 cut lies 4.5 standard deviations below the threshold.
@@ -35,7 +36,8 @@ BANDS, ROWS, B = 36, 5, 2
 HASHES = BANDS * ROWS
 SHINGLE, PER_CENT = 2, 80
 BLOCK = 1500
-ROUNDS = (2, 8, None)
+#: Partners that a class proposes in the first rounds; the last round settles all that is left.
+PROPOSALS = (1, 4)
 _U = np.uint64
 _BYTE = np.random.default_rng(101).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _POW, _MIX1, _MIX2, _ONE = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x5851F42D4C957F2D)
@@ -179,44 +181,10 @@ def _confirm(per_cent: int):
     return confirm
 
 
-def _propose(most: int | None, least: float):
-    """Partners within each bucket's block, from rows sorted by (band, block)."""
-
-    def block(cid, sig, comp):
-        m = len(cid)
-        if m < 2:
-            return
-        step = max(1, 2_000_000 // m)
-        for s in range(0, m, step):
-            est = similarity(sig[s : s + step, None], sig[None])
-            est[(comp[s : s + step, None] == comp[None]) | (est < least)] = -1
-            if most is not None and most < m:
-                top = np.argpartition(-est, most - 1, axis=1)[:, :most]
-                i, j = np.repeat(np.arange(len(est)), most), top.ravel()
-            else:
-                i, j = np.nonzero(est >= 0)
-            ok = est[i, j] >= 0
-            i, j = i[ok] + s, j[ok]
-            if len(i):
-                yield np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+def _grouped(work, out_names: list[str]):
+    """Run `work` on whole (band, block) groups of rows sorted by them, 20,000 rows or so at a time."""
 
-    def flush(rows: pa.Table):
-        band, blk, cid, comp = (rows.column(k).to_numpy() for k in ("band", "block", "cid", "comp"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(cid), -1)
-        edge = np.flatnonzero((band[1:] != band[:-1]) | (blk[1:] != blk[:-1])) + 1
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(cid)]])
-        out = []
-        two = ends - starts == 2  # most buckets: all at once
-        p = starts[two]
-        ok = (comp[p] != comp[p + 1]) & (similarity(sig[p], sig[p + 1]) >= least)
-        p = p[ok]
-        out.append((np.minimum(cid[p], cid[p + 1]), np.maximum(cid[p], cid[p + 1])))
-        for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
-            out.extend(block(cid[s:e], sig[s:e], comp[s:e]))
-        pairs = np.unique(np.stack([np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    def propose(batches):
+    def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -224,7 +192,7 @@ def _propose(most: int | None, least: float):
                 continue
             held.append(batch)
             size += len(batch)
-            if size < 20_000:
+            if size < 20_000 and sum(b.nbytes for b in held) < 32 << 20:
                 continue
             rows = pa.Table.from_batches(held)
             # the last group may go on in the next batch
@@ -238,7 +206,68 @@ def _propose(most: int | None, least: float):
         if size:
             yield flush(pa.Table.from_batches(held))
 
-    return propose
+    def flush(rows: pa.Table):
+        band, blk, cid, comp, asks = (rows.column(k).to_numpy() for k in ("band", "block", "cid", "comp", "asks"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(cid), -1)
+        edge = np.flatnonzero((band[1:] != band[:-1]) | (blk[1:] != blk[:-1])) + 1
+        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(cid)]])
+        out = list(work(rows, starts, ends, cid, comp, asks, sig))
+        a, b = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], out_names)
+
+    return run
+
+
+def _propose(most: int, least: float):
+    """The `most` best partners outside its own component of every asking class of a bucket's block."""
+
+    def work(rows, starts, ends, cid, comp, asks, sig):
+        two = ends - starts == 2  # most buckets: all at once
+        p = starts[two]
+        p = p[(comp[p] != comp[p + 1]) & (similarity(sig[p], sig[p + 1]) >= least)]
+        yield cid[p], cid[p + 1]
+        for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
+            m, who = e - s, np.flatnonzero(asks[s:e]) + s
+            step = max(1, 2_000_000 // m)
+            for k in range(0, len(who) if m > 1 else 0, step):
+                own = who[k : k + step]
+                est = similarity(sig[own, None], sig[None, s:e])
+                est[(comp[own, None] == comp[None, s:e]) | (est < least)] = -1
+                top = np.argpartition(-est, most - 1, axis=1)[:, :most] if most < m else np.tile(np.arange(m), (len(own), 1))
+                ok = np.take_along_axis(est, top, 1) >= 0
+                yield cid[np.repeat(own, ok.sum(1))], cid[s + top[ok]]
+
+    return _grouped(work, ["a", "b"])
+
+
+def _settle(per_cent: int, least: float):
+    """Links of every asking class to other components in its bucket's block, on full sets; one link a component."""
+
+    def work(rows, starts, ends, cid, comp, asks, sig):
+        raw = rows.column("hashes").to_pylist()
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            who = np.flatnonzero(asks[s:e])
+            if e - s < 2 or not len(who):
+                continue
+            size = np.array([len(x) // 8 for x in raw[s:e]])
+            at = np.cumsum(size) - size
+            _, ids = np.unique(np.frombuffer(b"".join(raw[s:e]), np.uint64), return_inverse=True)
+            mine = np.zeros(int(ids.max()) + 1, bool)
+            for i in who.tolist():
+                ok = (comp[s:e] != comp[s + i]) & (100 * np.minimum(size, size[i]) >= per_cent * np.maximum(size, size[i]))
+                ok &= similarity(sig[s + i], sig[s:e]) >= least
+                if not ok.any():
+                    continue
+                own = ids[at[i] : at[i] + size[i]]
+                mine[own] = True
+                both = np.add.reduceat(mine[ids], at, dtype=np.int64)
+                mine[own] = False
+                found = np.flatnonzero(ok & (100 * both >= per_cent * (size + size[i] - both)))
+                _, one = np.unique(comp[s:e][found], return_index=True)
+                yield np.full(len(one), cid[s + i]), cid[s + found[one]]
+
+    return _grouped(work, ["a", "b"])
 
 
 def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -253,38 +282,34 @@ def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT
     texts = join_keys(docs.select("doc_id", "text"), wanted.select(F.col("cid").alias("doc_id")), ["doc_id"], "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "cid long, hashes binary"))
     a, b = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("hashes").alias("sb"))
-    tried = links = comps = None
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    for k in ROUNDS:
-        if comps is None:
-            rows = members.withColumn("comp", F.col("cid"))
-            rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", "band"), blocks).cast("int"))
+    own = F.pmod(F.xxhash64("cid", "band"), blocks).cast("int")
+    rows = members.select("band", own.alias("block"), "cid", F.col("cid").alias("comp"), F.lit(True).alias("asks"), "sig")
+    links = comps = None
+    for k in [*PROPOSALS, None]:
+        if links is not None:
+            rows = _unsettled(members, comps, blocks, own)
+        rows = rows if k else rows.join(sets, "cid")
+        rows = rows.repartition("band", "block").sortWithinPartitions("band", "block")
+        if k:
+            pairs = rows.mapInArrow(_propose(k, least), "a long, b long").distinct()
+            found = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean").filter("linked").select("a", "b")
         else:
-            rows = members.join(comps, members["cid"] == comps["node"], "left").select(members["*"], F.coalesce("root", "cid").alias("comp"))
-            mixed = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("band", "main")
-            rows = rows.join(mixed, "band")
-            own = F.pmod(F.xxhash64("cid", "band"), blocks).cast("int")
-            # the classes outside the bucket's main component visit all its blocks
-            rows = rows.withColumn("block", F.explode(F.when(F.col("comp") != F.col("main"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-        rows = rows.select("band", "block", "cid", "comp", "sig").repartition("band", "block").sortWithinPartitions("band", "block")
-        pairs = rows.mapInArrow(_propose(k, least), "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if not pairs.limit(1).count():
-            if k is not None:
-                continue
-            break
-        checked = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = checked.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
+            found = rows.mapInArrow(_settle(per_cent, least), "a long, b long")
+        found = materialize(found.distinct())
+        links = found if links is None else links.unionByName(found)
         comps = materialize(components(links, "a", "b"))
-    if comps is None:
-        return described.sparkSession.createDataFrame([], "node long, root long")
     return comps
 
 
+def _unsettled(members: DataFrame, comps: DataFrame, blocks, own) -> DataFrame:
+    """The buckets that hold more than one component. Classes outside a bucket's main component ask, in all its blocks."""
+    rows = members.join(comps, members["cid"] == comps["node"], "left").select(members["*"], F.coalesce("root", "cid").alias("comp"))
+    mixed = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("band", "main")
+    rows = rows.join(mixed, "band").withColumn("asks", F.col("comp") != F.col("main"))
+    return rows.select("band", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"), "cid", "comp", "asks", "sig")
+
+
 def cluster(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     described = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, key binary, n long, bands array<long>, sig binary"))
