@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scratch import materialize, scratch_dir
+
 #: A key table of at most this many rows (16 bytes a row and the hash table) may be broadcast.
 BROADCAST_KEYS = 400_000
 
@@ -15,23 +14,6 @@ BROADCAST_KEYS = 400_000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,3 +45,6 @@ def chunks(texts: list, limit: int = 1 << 20):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+__all__ = ["BROADCAST_KEYS", "ascii_lower", "chunks", "join_keys", "materialize", "scratch_dir", "table"]
