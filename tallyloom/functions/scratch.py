@@ -18,6 +18,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
+    """Write df and read it back. Without a codec: its buffers lie outside the heap and are freed late."""
     path = f"{scratch_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
