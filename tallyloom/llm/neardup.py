@@ -6,7 +6,7 @@
 3. Classes that share a band are candidates. Within a bucket the packed bits are compared by bit counts,
    corrected for chance collisions, and every class proposes its most similar partner. Proposals are
    confirmed on full shingle sets and confirmed links joined to components; buckets of one component are done.
-   In the others the classes outside the main component propose 4 more, and at last they are compared, on full
+   In the others the classes outside the main component are compared, on full
    sets and inside the task, with every class of another component that could reach the threshold; only links
    are given out. So rows follow the number of classes, while no candidate pair between two components
    stays unchecked.
@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import chunks, join_keys, materialize
+from tallyloom.llm.common import chunks, join_keys, materialize, sliced
 from tallyloom.llm.components import components
 
 BANDS, ROWS, B = 36, 5, 2
 HASHES = BANDS * ROWS
 SHINGLE, PER_CENT = 2, 80
 BLOCK = 1500
-#: Partners that a class proposes in the first rounds; the last round settles all that is left.
-PROPOSALS = (1, 4)
+#: Partners that a class proposes in each of the first rounds; the last round settles all that is left.
+PROPOSALS = (1,)
 _U = np.uint64
 _BYTE = np.random.default_rng(101).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _POW, _MIX1, _MIX2, _ONE = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x5851F42D4C957F2D)
@@ -139,7 +139,7 @@ def _fold(text: str | None) -> bytes:
 
 
 def _describe(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = batch.column("doc_id"), [_fold(t) for t in batch.column("text").to_pylist()]
         for s, e in chunks(texts):
             part = texts[s:e]
@@ -157,7 +157,7 @@ def _describe(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [_fold(t) for t in batch.column("text").to_pylist()]
         for s, e in chunks(texts):
             got = shingle_sets(texts[s:e])
@@ -285,9 +285,9 @@ def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid", "band"), blocks).cast("int")
     rows = members.select("band", own.alias("block"), "cid", F.col("cid").alias("comp"), F.lit(True).alias("asks"), "sig")
-    links = comps = None
+    comps = None
     for k in [*PROPOSALS, None]:
-        if links is not None:
+        if comps is not None:
             rows = _unsettled(members, comps, blocks, own)
         rows = rows if k else rows.join(sets, "cid")
         rows = rows.repartition("band", "block").sortWithinPartitions("band", "block")
@@ -297,7 +297,10 @@ def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT
         else:
             found = rows.mapInArrow(_settle(per_cent, least), "a long, b long")
         found = materialize(found.distinct())
-        links = found if links is None else links.unionByName(found)
+        if comps is not None and not found.limit(1).count():
+            continue
+        # links known before are stars already
+        links = found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
         comps = materialize(components(links, "a", "b"))
     return comps
 
