@@ -35,6 +35,13 @@ def join_keys(big: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataF
     return big.join(small, cond, how)
 
 
+def sliced(batches, rows: int = 512):
+    """The batches in slices of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list, limit: int = 1 << 20):
     """(start, end) ranges of a list of byte strings of about `limit` bytes each, so that numpy work stays small."""
     start = size = 0
@@ -47,4 +54,4 @@ def chunks(texts: list, limit: int = 1 << 20):
         yield start, len(texts)
 
 
-__all__ = ["BROADCAST_KEYS", "ascii_lower", "chunks", "join_keys", "materialize", "scratch_dir", "table"]
+__all__ = ["BROADCAST_KEYS", "ascii_lower", "chunks", "join_keys", "materialize", "scratch_dir", "sliced", "table"]

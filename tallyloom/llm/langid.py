@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import chunks, materialize
+from tallyloom.llm.common import chunks, materialize, sliced
 
 SAMPLE = 1500
 BUCKETS = 1 << 15
@@ -78,7 +78,7 @@ def _fold(text: str) -> bytes:
 def _count(batches):
     """Trigram counts by language over one task's documents."""
     got: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in sliced(batches):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang, text in zip(langs, texts):
             if text and _LETTER.search(text):
@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _predictor(model: Model, keep: list[str]):
     def predict(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             n = len(texts)
             lang, score, close = [["und"] * n, np.zeros(n), np.zeros(n, bool)]
@@ -176,7 +176,7 @@ def _keeper(model: Model):
     def keep(batches):
         names = None
         score = _predictor(model, [])
-        for batch in batches:
+        for batch in sliced(batches):
             names = names or batch.schema.names
             got = next(score(iter([batch.select(["text"])])))
             ok = pa.compute.not_equal(got.column("lang_pred"), "und")

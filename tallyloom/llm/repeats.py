@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import join_keys, materialize
+from tallyloom.llm.common import join_keys, materialize, sliced
 from tallyloom.llm.gsaca import suffix_array
 
 SPAN, GRAM = 400, 32
@@ -90,7 +90,7 @@ def anchors(text: bytes):
 
 
 def _anchor_rows(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         ids, cls = batch.column("doc_id").to_pylist(), batch.column("cls").to_pylist()
         cols: list[list] = [[] for _ in range(7)]
         for d, c, t in zip(ids, cls, batch.column("text").to_pylist()):
@@ -271,7 +271,7 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         cols: list[list] = [[] for _ in range(4)]
         for t, whole, runs in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), batch.column("runs").to_pylist()):
             b = (t or "").encode()
