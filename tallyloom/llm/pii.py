@@ -120,7 +120,7 @@ def _holds(kind: str, s: str) -> bool:
 def features(kind: str, s: str, before: str, after: str) -> list[float]:
     d = _digits(s)
     sep = [c for c in s if not c.isalnum()]
-    groups = re.findall("[0-9]+", s[:400])
+    groups = re.findall("[0-9]+", s)
     most = max((int(g[:6]) for g in groups), default=0)
     near = (before + " " + after).lower()
     b, a = before[-1:], after[:1]
@@ -143,9 +143,9 @@ def candidates(text: str):
     seen = set()
     for kind, s, e, ok in base_matches(text):
         seen.add((kind, s, e))
-        span, before, after = text[s:e][:400], text[max(0, s - 40) : s], text[e : e + 20]
-        digits = sum("0" <= c <= "9" for c in span)
-        if kind == "card" and digits < 12 or kind == "phone" and digits < 7:
+        span, before, after = text[s:e], text[max(0, s - 40) : s], text[e : e + 20]
+        digits = len(_digits(span))
+        if not ok and (kind == "card" and digits < 12 or kind == "phone" and digits < 7):
             continue
         yield kind, s, e, ok, int(ok), features(kind, span, before, after)
         if ok:

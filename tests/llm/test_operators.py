@@ -362,6 +362,15 @@ def test_spelled_out_addresses_are_added(spark):
     assert red[0] == "mail me: [email] or [ip] or [phone], card [card]"
 
 
+def test_spans_of_any_length_are_judged_whole(spark):
+    phone, ip = "+1 " + "." * 420 + " 2345678901", "0" * 410 + "1.2.3.4"
+    got = {r.doc_id: r for r in pii.report(docs_of(spark, [f"call {phone} now", f"host {ip} up", f"host {ip}56 up"])).collect()}
+    assert [(got[i].n_phone, got[i].n_ip) for i in range(3)] == [(1, 0), (0, 1), (0, 0)]
+    for i, (kind, span) in enumerate([("phone", phone), ("ip", ip)]):
+        assert got[i].base_sha256 == hashlib.sha256(f"{kind}:5:{5 + len(span)}".encode()).hexdigest()
+        assert not pii.valid(kind, pii._twin(kind, span))
+
+
 # ---- nearest neighbours ----
 
 
