@@ -5,11 +5,13 @@
    dots, card numbers with other separators, phone numbers without a plus). Proposals may overlap.
 2. Each proposal gets features of its format (digits, separators, checksum, octets, the check on its
    normalised form) and of its context (neighbouring characters, cue words).
-3. Boosted trees are fitted on at most TRAIN proposals (a documented bound: the first in hash order) of the
-   base patterns: those that pass their check against those that fail it and against a corrupted twin of each
-   that passes (a digit changed, an octet raised, a group or a dot removed).
-4. One half of the sample fits the trees, the other sets a threshold a kind: the lowest at which PRECISION of
-   the proposals above it are right.
+3. Boosted trees are fitted on at most TRAIN proposals (a documented bound: the first in hash order of each kind
+   and label, an eighth of TRAIN and half of them at most) of the base patterns: those that pass their check
+   against those that fail it and against a corrupted twin of each that passes (a digit changed, an octet
+   raised, a group or a dot removed).
+4. All labelled proposals outside the fit are scored and counted by kind and score in BINS steps. They set a
+   threshold a kind: the lowest at which PRECISION of the proposals above it are right. A kind that has no
+   such proposals takes the threshold of all kinds together.
 Base spans that pass their checks always stand; the trees add proposals above the threshold that do not
 overlap them, the better one first where they overlap each other.
 
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, sliced
@@ -32,6 +35,7 @@ from tallyloom.llm.common import materialize, sliced
 KINDS = ("email", "ip", "card", "phone")
 TRAIN = 4000
 PRECISION = 0.98
+BINS = 10_000
 TREES, DEPTH = 8, 3
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -178,25 +182,54 @@ def propose(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_extract, "doc_id long, th long, kind string, start int, end int, base boolean, label int, f array<double>")
 
 
+def _split(found: DataFrame, train: int) -> tuple[DataFrame, DataFrame]:
+    """(rows to fit, rows outside the fit) of the labelled proposals: of each kind and label the first of its distinct
+    hashes fit, half of them and train // 8 at most."""
+    most, group = max(1, train // (2 * len(KINDS))), ["kind", "label"]
+    rows = found.filter("label is not null").withColumn("h", F.xxhash64("doc_id", "th", "kind", "start", "end", "label", "f"))
+    own = {(r.kind, r.label): r.n for r in rows.groupBy(*group).agg(F.countDistinct("h").alias("n")).collect()}
+    if not own:
+        return rows, rows
+    of = lambda values: F.create_map(*[F.lit(x) for (k, y), v in values.items() for x in (f"{k} {y}", v)])[F.concat_ws(" ", *group)]
+    few = {k: min(most, (n + 1) // 2) for k, n in own.items()}
+    # hashes are even over 64 bits: few of a large group's rows lie below the bound, and twice those wanted do
+    low = of({k: min(2**63 - 1, 2 * few[k] * 2**64 // n - 2**63) for k, n in own.items()})
+    low = rows.filter(F.col("h") <= low).dropDuplicates([*group, "h"]).withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("h")))
+    sample = materialize(low.filter(F.col("r") <= of(few)).drop("r"))
+    last = {(r.kind, r.label): r.h for r in sample.groupBy(*group).agg(F.max("h").alias("h")).collect()}
+    return sample, rows.filter(F.col("h") > F.coalesce(of(last), F.lit(-(2**63))))
+
+
+def _bin():
+    return F.floor(vector_to_array("probability")[1] * BINS).cast("int")
+
+
+def _least(bins: list[tuple[int, int, int]]) -> int | None:
+    """The lowest bin at which PRECISION of the rows from it on are right. bins: (bin, rows, right ones)."""
+    least, n, right = None, 0, 0
+    for b, rows, ok in sorted(bins, reverse=True):
+        n, right = n + rows, right + ok
+        if right >= PRECISION * n:
+            least = b
+    return least
+
+
 def fit(found: DataFrame, train: int = TRAIN):
-    """(model, thresholds by kind), or (None, {}) where nothing can be learned. found: materialized proposals."""
-    sample = found.filter("label is not null").withColumn("h", F.xxhash64("doc_id", "th", "kind", "start", "end", "label", "f")).orderBy("h").limit(train)
-    sample = materialize(sample.select("kind", F.col("label").cast("double").alias("label"), "f", (F.pmod("h", F.lit(2)) == 0).alias("fits")))
-    halves = {(r.fits, r.label): r.n for r in sample.groupBy("fits", "label").agg(F.count("*").alias("n")).collect()}
-    if any(not halves.get((x, y)) for x in (True, False) for y in (0.0, 1.0)):
+    """(model, least bin by kind), or (None, {}) where nothing can be learned. found: materialized proposals."""
+    sample, outside = _split(found, train)
+    if sample.select("label").distinct().count() < 2:
         return None, {}
-    rows = sample.select("kind", "label", "fits", array_to_vector("f").alias("features")).coalesce(1).cache()
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(rows.filter("fits"))
-    scored = model.transform(rows.filter("not fits")).select("kind", "label", vector_to_array("probability")[1].alias("p")).collect()  # at most `train` rows
+    as_rows = lambda df: df.select("kind", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
+    rows = as_rows(sample).coalesce(1).cache()
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(rows)
     rows.unpersist()
+    bins = model.transform(as_rows(outside)).groupBy("kind", _bin().alias("b")).agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # BINS + 1 a kind at most
     limits = {}
     for kind in KINDS:
-        own = sorted(((r.p, r.label) for r in scored if r.kind == kind), reverse=True)
-        right = 0
-        for i, (p, y) in enumerate(own):
-            right += y
-            if right >= PRECISION * (i + 1) and (i + 1 == len(own) or own[i + 1][0] < p):
-                limits[kind] = p
+        own = [(r.b, r.n, r.right) for r in bins if r.kind == kind]
+        least = _least(own or [(r.b, r.n, r.right) for r in bins])
+        if least is not None:
+            limits[kind] = least
     return model, limits
 
 
@@ -212,7 +245,7 @@ def find(docs: DataFrame, train: int = TRAIN) -> DataFrame:
         least = F.create_map(*[F.lit(x) for k, p in limits.items() for x in (k, p)])
         wide = found.filter("label is null").select("doc_id", "th", "kind", span.alias("x"), array_to_vector("f").alias("features"))
         wide = model.transform(wide).withColumn("p", vector_to_array("probability")[1])
-        every = base.unionByName(wide.filter(F.col("p") >= least[F.col("kind")]).select("doc_id", "th", "x", "p"))
+        every = base.unionByName(wide.filter(_bin() >= least[F.col("kind")]).select("doc_id", "th", "x", "p"))
     by = every.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("p") == 2.0, F.col("x")))).alias("base"), F.sort_array(F.collect_set(F.when(F.col("p") < 2.0, F.struct("p", "x"))), asc=False).alias("wide"))
     clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     added = F.aggregate("wide", F.filter("base", lambda b: F.lit(False)), lambda got, w: F.when(F.exists(F.concat(got, F.col("base")), lambda o: clash(o, w["x"])), got).otherwise(F.concat(got, F.array(w["x"]))))

@@ -371,6 +371,23 @@ def test_spans_of_any_length_are_judged_whole(spark):
         assert not pii.valid(kind, pii._twin(kind, span))
 
 
+def test_a_rare_kind_has_its_threshold_beside_a_common_one(spark):
+    many = [" ".join(f"host 10.{i}.{j}.7 or 999.{i}.{j}.1" for j in range(20)) for i in range(60)]
+    few = [f"mail me: user{i}@host{i}.com" for i in range(4)]
+    _, limits = pii.fit(pii.propose(docs_of(spark, many + few)), 400)
+    assert {"ip", "email"} <= set(limits)
+    got = {r.doc_id: r.spans for r in pii.report(docs_of(spark, many + few + ["write to jane (at) site (dot) org please"]), 400).collect()}
+    assert got[64] == "email:9:33"
+
+
+def test_thresholds_count_every_labelled_proposal_outside_a_bounded_fit(spark):
+    found = pii.propose(docs_of(spark, [f"a{i}@b.com, 10.0.0.{i} and 300.0.0.{i}" for i in range(100)] + ["x@y.org"]))
+    sample, outside = pii._split(found, 80)
+    count = lambda df: Counter((r.kind, r.label) for r in df.collect())
+    every, fits = count(found.filter("label is not null")), count(sample)
+    assert set(fits.values()) == {10} and count(outside) == every - fits
+
+
 # ---- nearest neighbours ----
 
 
