@@ -10,7 +10,8 @@
    sets and inside the task, with every class of another component that could reach the threshold; only links
    are given out. So rows follow the number of classes, while no candidate pair between two components
    stays unchecked.
-   Buckets of more than BLOCK classes are cut into blocks; the asking classes visit every block.
+   Buckets of more than BLOCK classes are cut into blocks, and so are their asking classes: a task's group is
+   one block of asking classes against one block of the bucket's.
 
 With 36 bands of 5 minima, a pair at similarity 0.8 shares no band with probability 6e-7; the estimate's
 cut lies 4.5 standard deviations below the threshold.
@@ -242,10 +243,10 @@ def _propose(most: int, least: float):
 
 
 def _settle(per_cent: int, least: float):
-    """Links of every asking class to other components in its bucket's block, on full sets; one link a component."""
+    """Links of every asking class to the block's members of other components, on full sets; one link a component."""
 
     def work(rows, starts, ends, cid, comp, asks, sig):
-        raw = rows.column("hashes").to_pylist()
+        raw, member = rows.column("hashes").to_pylist(), rows.column("member").to_numpy()
         for s, e in zip(starts.tolist(), ends.tolist()):
             who = np.flatnonzero(asks[s:e])
             if e - s < 2 or not len(who):
@@ -255,7 +256,7 @@ def _settle(per_cent: int, least: float):
             _, ids = np.unique(np.frombuffer(b"".join(raw[s:e]), np.uint64), return_inverse=True)
             mine = np.zeros(int(ids.max()) + 1, bool)
             for i in who.tolist():
-                ok = (comp[s:e] != comp[s + i]) & (100 * np.minimum(size, size[i]) >= per_cent * np.maximum(size, size[i]))
+                ok = member[s:e] & (comp[s:e] != comp[s + i]) & (100 * np.minimum(size, size[i]) >= per_cent * np.maximum(size, size[i]))
                 ok &= similarity(sig[s + i], sig[s:e]) >= least
                 if not ok.any():
                     continue
@@ -306,11 +307,22 @@ def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT
 
 
 def _unsettled(members: DataFrame, comps: DataFrame, blocks, own) -> DataFrame:
-    """The buckets that hold more than one component. Classes outside a bucket's main component ask, in all its blocks."""
+    """The buckets that hold more than one component. Classes outside a bucket's main component ask.
+
+    Askers are dealt to blocks of their own. A group is a block of the bucket's classes (member) with a block of its
+    askers (asks), and every asker meets every class in exactly one group.
+    """
     rows = members.join(comps, members["cid"] == comps["node"], "left").select(members["*"], F.coalesce("root", "cid").alias("comp"))
-    mixed = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("band", "main")
-    rows = rows.join(mixed, "band").withColumn("asks", F.col("comp") != F.col("main"))
-    return rows.select("band", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"), "cid", "comp", "asks", "sig")
+    askers = F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("ask_blocks")
+    mixed = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), askers).filter("comps > 1").select("band", "main", "ask_blocks")
+    rows = rows.join(mixed, "band").withColumns({"asks": F.col("comp") != F.col("main"), "own": own, "blocks": blocks, "ask": F.pmod(F.xxhash64("band", "cid", F.lit("ask")), "ask_blocks").cast("int")})
+    place = lambda i, j, asks, member: F.struct((i * F.col("ask_blocks") + j).alias("block"), asks.alias("asks"), member.alias("member"))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: place(i, F.col("ask"), F.lit(True), i == F.col("own")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("ask_blocks") - 1), lambda j: place(F.col("own"), j, F.lit(False), F.lit(True)))
+    # an asker is a member of its own block beside the other blocks of askers, too
+    other = F.filter(asked, lambda x: x["block"] != F.col("own") * F.col("ask_blocks") + F.col("ask"))
+    rows = rows.select("band", "cid", "comp", "sig", F.explode(F.when(F.col("asks"), F.concat(asking, other)).otherwise(asked)).alias("at"))
+    return rows.select("band", "at.block", "cid", "comp", "at.asks", "at.member", "sig")
 
 
 def cluster(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:

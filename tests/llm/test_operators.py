@@ -157,6 +157,20 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_groups_of_the_settling_round_hold_two_blocks_and_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    members = spark.createDataFrame([(7, 1000, i, b"") for i in range(1000)] + [(8, 2, i, b"") for i in range(2)], "band long, size long, cid long, sig binary")
+    comps = spark.createDataFrame([(i, 0) for i in range(5)], "node long, root long")
+    blocks = neardup.F.greatest(neardup.F.lit(1), neardup.F.ceil(neardup.F.col("size") / 100)).cast("int")
+    own = neardup.F.pmod(neardup.F.xxhash64("cid", "band"), blocks).cast("int")
+    groups = {}
+    for r in neardup._unsettled(members, comps, blocks, own).collect():
+        groups.setdefault((r.band, r.block), []).append(r)
+    assert {b for b, _ in groups} == {7} and max(map(len, groups.values())) <= 300
+    met = Counter((x.cid, y.cid) for g in groups.values() for x in g if x.asks for y in g if y.member)
+    assert met == Counter({(x, y): 1 for x in range(5, 1000) for y in range(1000)})
+
+
 def test_deduplicate_keeps_one_of_each_group_and_all_columns(spark):
     df = docs_of(spark, ["a b c d", "A b c  d", "x y z", None, ""])
     out = neardup.deduplicate(df)
