@@ -83,13 +83,19 @@ def purge(records: DataFrame, before_ms: int, limit: int | None = None) -> DataF
     return records.join(old.select("id"), "id", "left_anti")
 
 
+def _active_contents(claims: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Each active content of a key with its first `most` ids, cut before they are collected, and the lowest of them."""
+    active = claims.filter(F.col("state") == "active").withColumn("__i", F.row_number().over(W.partitionBy(*key, "content").orderBy(F.asc_nulls_last("id"))))
+    return active.filter(F.col("__i") <= most).groupBy(*key, "content").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("low"))
+
+
 def contradictions(claims: DataFrame, most: int = 8) -> DataFrame:
     """Claims against active ones of the same workspace, scope, type and subject with other content, `most` a claim.
 
     Only the first most + 1 distinct contents of a group can be listed, so a group is cut to these before the join.
     """
     key = ["workspace_id", "scope", "claim_type", "subject"]
-    active = claims.filter(F.col("state") == "active").groupBy(*key, "content").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("low"))
+    active = _active_contents(claims, key, most)
     # a claim agrees with one content at most, so the first ids among most + 1 contents are enough
     near = active.withColumn("__r", F.row_number().over(W.partitionBy(*key).orderBy("low"))).filter(F.col("__r") <= most + 1)
     other = near.select(*key, F.col("content").alias("other_content"), F.explode(F.slice("ids", 1, most)).alias("other_id"))
@@ -99,10 +105,12 @@ def contradictions(claims: DataFrame, most: int = 8) -> DataFrame:
 
 
 def drifted(listing: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Per scope the ids updated past the stored watermark and the new watermark."""
+    """A row for each id updated past its scope's stored watermark, with the new one; a scope without any has one row of null id."""
     j = listing.join(F.broadcast(cursors.select("scope", "watermark")), "scope")
-    own = F.collect_list(F.when(F.col("updated_at_ms") > F.col("watermark"), F.col("id")))
-    return j.groupBy("scope").agg(F.array_sort(own).alias("ids"), F.greatest(F.max("updated_at_ms"), F.max("watermark")).alias("watermark"))
+    past = (F.col("updated_at_ms") > F.col("watermark")) & F.col("id").isNotNull()
+    marks = j.groupBy("scope").agg(F.greatest(F.max("updated_at_ms"), F.max("watermark")).alias("watermark"), F.count_if(past).alias("n"))  # no more rows than cursors
+    rows = j.filter(past).select("scope", "id").join(F.broadcast(marks.select("scope", "watermark")), "scope")
+    return rows.unionByName(marks.filter("n = 0").select("scope", F.lit(None).cast(listing.schema["id"].dataType).alias("id"), "watermark"))
 
 
 def search_records(records: DataFrame, needle: str, scopes: list[str], limit: int = 50, offset: int = 0, max_bytes: int = 1 << 20) -> DataFrame:

@@ -178,7 +178,7 @@ def j18_contradictions(spark, sf_dir):
 def j19_drifted(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("updated_at_ms"))
     cur = o.select("scope").distinct().withColumn("watermark", F.lit(5000).cast("long"))
-    return R.drifted(o, cur).select("scope", F.size("ids").cast("long").alias("n"), "watermark")
+    return R.drifted(o, cur).groupBy("scope").agg(F.count("id").alias("n"), F.max("watermark").alias("watermark"))
 
 
 @query("""WITH n AS (SELECT l_orderkey AS source, l_returnflag AS relationship, l_partkey AS target, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL) SELECT relationship, p_partkey AS id, p_name FROM n JOIN part ON target = p_partkey WHERE source = 7""")

@@ -189,3 +189,18 @@ def test_search_modes_and_boost(spark):
     assert set(keys(S.search(d, "beta alph"))) == {"a", "b"} and set(keys(S.search(d, "beta alpha ", mode="any"))) == {"a", "b"}
     assert keys(S.search(d, "gamma", prefixes=["docs"])) == ["c"] and keys(S.search(d, "...")) == []
     assert keys(S.linear_search(d, "gamma")) == ["a", "c"] and S.linear_search(d, "beta").first().fact_key == "b"
+
+
+def test_drift_gives_a_row_an_id_and_the_new_watermark(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 7), ("b", 4, 3), ("c", 5, 8)], "scope string, id long, updated_at_ms long")
+    got = R.drifted(rows, spark.createDataFrame([("a", 6), ("b", 6), ("d", 6)], "scope string, watermark long")).collect()
+    assert sorted(((r.scope, r.id, r.watermark) for r in got), key=str) == [("a", 2, 9), ("a", 3, 9), ("b", None, 6)]
+
+
+def test_contradictions_collect_few_ids_of_a_common_content(spark):
+    rows = [(i, "w", "s", "t", "u", "x", "active") for i in range(100)] + [(200, "w", "s", "t", "u", "y", "active")]
+    claims = spark.createDataFrame(rows, "id long, workspace_id string, scope string, claim_type string, subject string, content string, state string")
+    got = R._active_contents(claims, ["workspace_id", "scope", "claim_type", "subject"], 8).collect()
+    assert sorted((r.content, r.low, r.ids) for r in got) == [("x", 0, list(range(8))), ("y", 200, [200])]
+    pairs = {(r.id, r.other_id) for r in R.contradictions(claims).collect()}
+    assert pairs == {(i, 200) for i in range(100)} | {(200, i) for i in range(8)}
