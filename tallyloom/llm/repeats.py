@@ -3,13 +3,13 @@
 1. Winnowing: the least hash of the GRAM-byte strings within each SPAN-byte window is its anchor, so equal
    windows have equal anchors. Each text becomes a short sequence of anchors, each with the window starts
    it stands for; only anchors that occur more than once in the corpus go on.
-2. Suffixes of anchor sequences are dealt out by their first anchor. Each task sorts its suffixes with the
-   grouping construction of `gsaca` (Lyndon-prefix groups in descending order, previous-smaller pointers) and
-   reads the intervals of suffixes with a common prefix of one anchor or more off the array.
-3. Within an interval the SPAN-byte windows of all members are compared: windows of equal hash are confirmed
+2. Anchors, each with the one that follows, are dealt out by anchor. Each task orders them with the grouping
+   construction of `gsaca` (Lyndon-prefix groups in descending order, previous-smaller pointers), of which
+   only the groups of one anchor are used: no longer anchor sequence is sorted.
+3. Within a group the SPAN-byte windows of all members are compared: windows of equal hash are confirmed
    byte by byte with their neighbour, and the starts of equal windows give the covered runs.
-The array is built over anchors instead of bytes because sorting every byte in Python (about 5 us a byte)
-can't meet the time limit; no window is lost by it, as each window has exactly one anchor.
+So winnowing and window hashes replace a suffix array over bytes, as sorting every byte in Python (about 5 us
+a byte) can't meet the time limit; no window is lost by it, as each window has exactly one anchor.
 
 Equal texts are collapsed first: they are covered whole, and one of them stands for all in the search.
 Anchors with more than HOT suffixes are dealt out in blocks; a window not settled within its block is
