@@ -101,18 +101,50 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [20000, 2])
-def test_repeats_against_brute_force(spark, hot):
+def brute_shared(texts):
+    """Bytes of each text that a SHORT-byte string covers which starts elsewhere in the distinct texts."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + repeats.SHORT] for b in set(raw) for i in range(len(b) - repeats.SHORT + 1))
+    out = []
+    for b in raw:
+        hit = np.zeros(len(b), bool)
+        for i in range(len(b) - repeats.SHORT + 1):
+            if seen[b[i : i + repeats.SHORT]] > 1:
+                hit[i : i + repeats.SHORT] = True
+        out.append(int(hit.sum()))
+    return out
+
+
+@pytest.mark.parametrize("block", [repeats.BLOCK, 2000])
+def test_repeats_against_brute_force(spark, block):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
-    passage, longer = word(500), word(1500)
+    passage, longer, short = word(500), word(1500), word(300)
     texts = [word(900), word(200) + passage + word(300), passage, word(50) + passage[:450] + word(70), "ab" * 500, "ab" * 700 + word(20), longer, longer, longer[:900] + word(30) + longer[800:], "z" * 399, None, "", word(100) + passage[30:430] + word(100), "y" * 400, "y" * 401]
-    texts += [word(80) + passage + word(80) for _ in range(12)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs_of(spark, texts), hot).collect()}
-    want = brute_repeats(texts)
+    texts += [word(80) + passage + word(80) for _ in range(12)] + [word(90) + short, short[20:] + word(400), word(60) + short[:230], "q" * 40000, short + word(10) + short]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_shared) for r in repeats.report(docs_of(spark, texts), block).collect()}
+    want = [(*x, n) for x, n in zip(brute_repeats(texts), brute_shared(texts))]
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_repeated_windows_come_from_the_intervals_of_the_suffix_array(monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    shared = word(700)
+    pieces = [word(150) + shared + word(90), word(33) + shared[100:] + word(200), word(900), shared[:520]]
+
+    def twice():
+        held = repeats.Pieces(pieces)
+        start = np.concatenate([f + np.arange(len(p) - 399) for f, p in zip(held.first, pieces)])
+        return held.repeated(start, 400)[2].tolist()
+
+    seen = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
+    want = [seen[p[i : i + 400]] > 1 for p in pieces for i in range(len(p) - 399)]
+    assert twice() == want and any(want)
+    monkeypatch.setattr(repeats, "suffix_array", lambda seq: list(range(len(seq))))
+    assert twice() != want
+
+
 # ---- near duplicates ----
 
 
