@@ -6,9 +6,9 @@ Decoding picks the codeword with the least exponential loss, each bit weighted b
 training texts; when the two best losses lie close together, the text is flagged as ambiguous.
 
 The classifiers learn from at most SAMPLE documents of each language (a documented bound: the first ones in the
-order of a hash of doc_id), each read whole. Prediction reads whole texts, in pieces of about 1 MB.
+order of a hash of doc_id and text), each read whole. Prediction reads whole texts, in pieces of about 1 MB.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0. Without any labelled text all
+Defined cases: a null text, or one without a letter (number signs such as ½ are none), is `und` with score 0. Without any labelled text all
 are `und`; with one language all others are that one, with score 1. lang, source and doc_id are no inputs
 of a prediction. Repeated rows are predicted alike; extra columns are ignored.
 """
@@ -32,10 +32,15 @@ BUCKETS = 1 << 15
 FOLDS, HELD_OUT = 3, 1
 #: Two codewords whose probabilities differ by less are an ambiguous decoding.
 AMBIGUOUS = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and the number signs (as ½) that the pattern can't tell from them.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text or ""))
+
+
 def held_out():
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return F.pmod(F.crc32(key.cast("binary")), F.lit(FOLDS)) == HELD_OUT
@@ -81,7 +86,7 @@ def _count(batches):
     for batch in sliced(batches):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang, text in zip(langs, texts):
-            if text and _LETTER.search(text):
+            if has_letter(text):
                 h, _ = _grams([_fold(text)])
                 got[lang] = got.get(lang, 0) + np.bincount(h, minlength=BUCKETS)
     for lang, n in got.items():
@@ -133,7 +138,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents outside the held-out fold."""
     known = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     # the choice is made on ids alone; the texts of the chosen then come by a broadcast of their ids
-    ids = materialize(known.select("lang", "doc_id", F.xxhash64("text").alias("h")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "h"))).filter(F.col("r") <= sample).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
+    keys = materialize(known.select("lang", F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h")).distinct().withColumn("r", F.xxhash64("__d", "__h")))
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    # hashes are even over 64 bits: of a large language, twice the wanted rows lie below the bound, and only these are ranked
+    low = keys.join(F.broadcast(sizes), "lang").filter(F.col("r") / 2.0**64 + 0.5 <= F.lit(2.0 * sample) / F.col("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("r", "__d", "__h"))
+    ids = materialize(low.withColumn("k", rank).filter(F.col("k") <= sample).select("__d", "__h").distinct())
     chosen = known.join(F.broadcast(ids), known["doc_id"].eqNullSafe(ids["__d"]) & (F.xxhash64(known["text"]) == ids["__h"]), "left_semi")
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # at most BUCKETS rows a language
@@ -151,7 +161,7 @@ def _predictor(model: Model, keep: list[str]):
             texts = batch.column("text").to_pylist()
             n = len(texts)
             lang, score, close = [["und"] * n, np.zeros(n), np.zeros(n, bool)]
-            at = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
             folded = [_fold(texts[i]) for i in at]
             for s, e in chunks(folded):
                 best, p, c = model.decode(model.bits(folded[s:e]))
