@@ -16,8 +16,10 @@
 With 36 bands of 5 minima, a pair at similarity 0.8 shares no band with probability 6e-7; the estimate's
 cut lies 4.5 standard deviations below the threshold.
 
+Shingles have SHINGLE words or as many as the caller says.
+
 Defined cases: without words (or text) the set is empty, links with nothing, and the document is kept. With
-one word the word itself is the set. Rows without doc_id have a null component and are kept. Rows that agree
+fewer words than a shingle has, the whole sequence is the set's only one. Rows without doc_id have a null component and are kept. Rows that agree
 in doc_id are one node. Ties go to the smallest doc_id. Extra columns are kept by `deduplicate`.
 """
 
@@ -35,7 +37,8 @@ from tallyloom.llm.components import components
 
 BANDS, ROWS, B = 36, 5, 2
 HASHES = BANDS * ROWS
-SHINGLE, PER_CENT = 2, 80
+#: Words of a shingle, unless the caller says otherwise.
+SHINGLE, PER_CENT = 5, 80
 BLOCK = 1500
 #: Partners that a class proposes in each of the first rounds; the last round settles all that is left.
 PROPOSALS = (1,)
@@ -73,16 +76,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h + size.astype(np.uint64) * _ONE), np.searchsorted(ends, first, side="right")
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles of two words (or of its only word)."""
+def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of `width` words (of fewer words: of the whole sequence)."""
     h, doc = word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts))
     end = np.cumsum(n)
-    pair = _mix(h[:-1] * _POW + (h[1:] ^ _ONE)) if len(h) > 1 else np.empty(0, np.uint64)
+    # by[k]: hashes of k + 1 words from each place
+    by = [_mix(h ^ _MIX2)]
+    for k in range(1, width):
+        by.append(_mix(by[-1][:-1] * _POW + (h[k:] ^ _ONE)) if len(by[-1]) > 1 else by[-1][:0])
     out = []
     for i in range(len(texts)):
-        s, e = end[i] - n[i], end[i]
-        out.append(np.unique(pair[s : e - 1]) if n[i] > 1 else _mix(h[s:e] ^ _MIX2))
+        s, k = end[i] - n[i], min(int(n[i]), width)
+        out.append(np.unique(by[k - 1][s : end[i] - k + 1]) if k else h[:0])
     return out
 
 
@@ -139,30 +145,36 @@ def _fold(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def _describe(batches):
-    for batch in sliced(batches):
-        ids, texts = batch.column("doc_id"), [_fold(t) for t in batch.column("text").to_pylist()]
-        for s, e in chunks(texts):
-            part = texts[s:e]
-            keys = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in part]
-            sets = shingle_sets(part)
-            n = np.array([len(x) for x in sets], np.int64)
-            at = np.flatnonzero(n)
-            bands: list = [[]] * len(part)
-            sig: list = [None] * len(part)
-            if len(at):
-                m = signatures([sets[i] for i in at])
-                for i, x, y in zip(at.tolist(), bands_of(m), packed(m)):
-                    bands[i], sig[i] = x, y.tobytes()
-            yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array(keys, pa.binary()), pa.array(n), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "key", "n", "bands", "sig"])
-
-
-def _sets(batches):
-    for batch in sliced(batches):
-        texts = [_fold(t) for t in batch.column("text").to_pylist()]
-        for s, e in chunks(texts):
-            got = shingle_sets(texts[s:e])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), pa.array([x.tobytes() for x in got], pa.binary())], ["cid", "hashes"])
+def _describe(width: int):
+    def describe(batches):
+        for batch in sliced(batches):
+            ids, texts = batch.column("doc_id"), [_fold(t) for t in batch.column("text").to_pylist()]
+            for s, e in chunks(texts):
+                part = texts[s:e]
+                keys = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in part]
+                sets = shingle_sets(part, width)
+                n = np.array([len(x) for x in sets], np.int64)
+                at = np.flatnonzero(n)
+                bands: list = [[]] * len(part)
+                sig: list = [None] * len(part)
+                if len(at):
+                    m = signatures([sets[i] for i in at])
+                    for i, x, y in zip(at.tolist(), bands_of(m), packed(m)):
+                        bands[i], sig[i] = x, y.tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array(keys, pa.binary()), pa.array(n), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "key", "n", "bands", "sig"])
+
+    return describe
+
+
+def _sets(width: int):
+    def sets(batches):
+        for batch in sliced(batches):
+            texts = [_fold(t) for t in batch.column("text").to_pylist()]
+            for s, e in chunks(texts):
+                got = shingle_sets(texts[s:e], width)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), pa.array([x.tobytes() for x in got], pa.binary())], ["cid", "hashes"])
+
+    return sets
 
 
 def _confirm(per_cent: int):
@@ -271,7 +283,7 @@ def _settle(per_cent: int, least: float):
     return _grouped(work, ["a", "b"])
 
 
-def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) over class ids (smallest doc_id) from the pass's rows."""
     least = cut(per_cent / 100)
     classes = materialize(described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("cid", "bands", "sig"))
@@ -281,7 +293,7 @@ def link_classes(described: DataFrame, docs: DataFrame, per_cent: int = PER_CENT
     members = materialize(members.join(classes.select("cid", "sig"), "cid"))
     wanted = materialize(members.select("cid").distinct())
     texts = join_keys(docs.select("doc_id", "text"), wanted.select(F.col("cid").alias("doc_id")), ["doc_id"], "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "cid long, hashes binary"))
+    sets = materialize(texts.mapInArrow(_sets(shingle), "cid long, hashes binary"))
     a, b = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("hashes").alias("sb"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid", "band"), blocks).cast("int")
@@ -325,10 +337,10 @@ def _unsettled(members: DataFrame, comps: DataFrame, blocks, own) -> DataFrame:
     return rows.select("band", "at.block", "cid", "comp", "at.asks", "at.member", "sig")
 
 
-def cluster(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    described = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, key binary, n long, bands array<long>, sig binary"))
-    comps = link_classes(described, docs, per_cent)
+def cluster(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; sets are shingles of `shingle` words."""
+    described = materialize(docs.select("doc_id", "text").mapInArrow(_describe(shingle), "doc_id long, key binary, n long, bands array<long>, sig binary"))
+    comps = link_classes(described, docs, per_cent, shingle)
     rows = described.select("doc_id", "key", "n")
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("cid"))
     roots = classes.join(comps, classes["cid"] == comps["node"], "left").select("key", F.coalesce("root", "cid").alias("root"))
@@ -337,13 +349,15 @@ def cluster(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id; rows without doc_id stay. All columns kept."""
-    gone = materialize(cluster(docs, per_cent).filter(~F.col("kept")).select("doc_id"))
+def deduplicate(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group, the one of the smallest doc_id; rows without doc_id stay. All columns kept.
+
+    Of rows that share a doc_id the one of the least hash of all columns stays.
+    """
+    gone = materialize(cluster(docs, per_cent, shingle).filter(~F.col("kept")).select("doc_id"))
     out = join_keys(docs, gone.distinct(), ["doc_id"], "left_anti")
-    again = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    again = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(*docs.columns)).alias("__h")).filter("n > 1").select("doc_id", "__h"))
     if not again.limit(1).count():
         return out
-    # rows that share a doc_id are one node: one row of each stays
-    twice = join_keys(out, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return join_keys(out, again, ["doc_id"], "left_anti").unionByName(twice)
+    first = join_keys(out.select(*docs.columns, F.xxhash64(*docs.columns).alias("__h")), again, ["doc_id", "__h"], "left_semi").drop("__h").dropDuplicates(["doc_id"])
+    return join_keys(out, again.select("doc_id"), ["doc_id"], "left_anti").unionByName(first)

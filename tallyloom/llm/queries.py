@@ -27,7 +27,7 @@ def op5_language_id(spark, sf_dir):
 
 
 def op6_minhash_neardup(spark, sf_dir):
-    return neardup.cluster(table(spark, sf_dir, "documents"))
+    return neardup.cluster(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op7_virtual_slots(spark, sf_dir):

@@ -13,7 +13,7 @@ from tests.llm.test_operators import brute_bench, brute_components
 def plain(rows, items):
     """doc_id -> copies after all filters and the mix."""
     rows = [r for r in rows if r.text and any(c.isalpha() for c in r.text)]
-    comp = brute_components([r.text for r in rows])
+    comp = brute_components([r.text for r in rows], 5)
     rows = [r for i, r in enumerate(rows) if comp[i][1] == i]
     bad = brute_bench([r.text for r in rows], items)
     rows = [r for r, b in zip(rows, bad) if not b[4]]
