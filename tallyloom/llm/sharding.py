@@ -1,9 +1,14 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its doc_id modulo SLOTS, for ever. Bytes and rows are summed by slot
-(map-side), and a map of SLOTS rows, slot -> shard with a version, says where each slot lives. The map
-is the only thing that is ever edited: `rebalance` moves slots from the fullest shards to the emptiest,
-and a new shard takes slots from all others. The driver sees SLOTS rows, whatever the input's size.
+A record's virtual slot is a hash of its text modulo SLOTS, for ever, so equal texts share a slot and with it a shard.
+Bytes and rows are summed by slot (map-side), and a versioned map of SLOTS rows, slot -> shard, is stored and says
+where each slot lives. The map is the only thing that is ever edited: `rebalance` moves slots from the fullest
+shards to the emptiest, and a new shard takes slots from all others. The driver sees SLOTS rows, whatever the
+input's size.
+
+A group of equal texts of more than 1 / (GROUP_SHARE * shards) of all bytes, or of more than GROUP_ROWS rows, would
+unbalance the shards or land in one task: it alone is dealt over all slots, by a hash of doc_id. Such groups can only lie in
+slots of that size, which the sums by slot show, so no group of any other slot is counted.
 
 The law kept is `bytes`: slots are given out largest first to the emptiest shard, so shard sizes differ by
 less than the smallest slots' bytes (unless one record alone exceeds a shard's share).
@@ -11,30 +16,32 @@ less than the smallest slots' bytes (unless one record alone exceeds a shard's s
 A record's place within its shard (`slot` of `place`) is gapless from 0: the slot's offset in its shard plus
 the rank within the slot, so the ranks are sorted in SLOTS groups and never a shard as one.
 
-Defined cases: a null text has size 1 and the checksum of no bytes, 0. Rows without doc_id are hashed by
-their text. Rows that agree in doc_id share a virtual slot and have places of their own. An empty table
-gives an empty result.
+Defined cases: a null text has size 1, the checksum of no bytes, 0, and is one group with the empty text's. Rows that
+agree in doc_id and text have places of their own. In a group that is dealt out, rows without doc_id are dealt in turn. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import materialize, scratch_dir
 
 SLOTS = 4096
 SHARDS = 8
+GROUP_SHARE, GROUP_ROWS = 8, 1_000_000
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot."""
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    vslot = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), crc)), F.lit(slots)).cast("int")
-    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc.alias("text_crc32"), vslot.alias("vslot"))
+    """doc_id, size, text_crc32, th (the text's hash), vslot."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    th = F.xxhash64(text)
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), th.alias("th"), F.pmod(th, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> list[tuple[int, int, int]]:
@@ -42,6 +49,20 @@ def slot_bytes(rows: DataFrame) -> list[tuple[int, int, int]]:
     return [tuple(r) for r in rows.groupBy("vslot").agg(F.sum("size"), F.count("*")).orderBy("vslot").collect()]
 
 
+def spread_large_groups(rows: DataFrame, stats: list[tuple[int, int, int]], shards: int, slots: int, group_rows: int = GROUP_ROWS) -> DataFrame | None:
+    """`rows` with the records of too large groups of equal texts dealt over all slots; None where there are none."""
+    share = sum(b for _, b, _ in stats) / (GROUP_SHARE * shards)
+    large = [v for v, b, n in stats if n > 1 and (b > share or n > group_rows)]  # as shares sum to one, few
+    if not large:
+        return None
+    groups = rows.filter(F.col("vslot").isin(large)).groupBy("th").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    hot = groups.filter((F.col("n") > 1) & ((F.col("b") > share) | (F.col("n") > group_rows))).select(F.col("th").alias("__th")).collect()
+    if not hot:
+        return None
+    turn = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "th"))
+    return rows.withColumn("vslot", F.when(F.col("th").isin([r[0] for r in hot]), F.pmod(turn, F.lit(slots)).cast("int")).otherwise(F.col("vslot")))
+
+
 def first_map(stats: list[tuple[int, int, int]], shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
     """Version 1: the largest slots first, each to the shard with the fewest bytes; unused slots in turn."""
     load = [(0, s) for s in range(shards)]
@@ -97,7 +118,7 @@ def map_table(spark: SparkSession, slot_map: dict[int, int], stats: list[tuple[i
 
 def save_map(table: DataFrame, path: str) -> None:
     """Append one version; earlier versions stay readable."""
-    table.write.mode("append").partitionBy("version").parquet(path)
+    table.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
@@ -107,11 +128,22 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> dict
     return {r.vslot: r.shard for r in df.filter(F.col("version") == version).select("vslot", "shard").collect()}
 
 
-def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: dict[int, int] | None = None, version: int = 1) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version for every record."""
+def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: dict[int, int] | None = None, version: int = 1, path: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version for every record.
+
+    The map (the given one, or the first) is stored as `version` under `path`, by default a folder of its own in the
+    scratch folder, and records are placed by what is stored.
+    """
+    spark = docs.sparkSession
     rows = materialize(slotted(docs, slots))
     stats = slot_bytes(rows)
-    table = F.broadcast(map_table(docs.sparkSession, slot_map or first_map(stats, shards, slots), stats, version))
+    dealt = spread_large_groups(rows, stats, shards, slots, group_rows)
+    if dealt is not None:
+        rows = materialize(dealt)
+        stats = slot_bytes(rows)
+    path = path or f"{scratch_dir(spark)}/slot_maps/{uuid.uuid4().hex}"
+    save_map(map_table(spark, slot_map or first_map(stats, shards, slots), stats, version), path)
+    table = F.broadcast(spark.read.parquet(path).filter(F.col("version") == version))  # SLOTS rows
     rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     out = rows.withColumn("__r", rank - 1).join(table.select("vslot", "shard", "first"), "vslot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("__r")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.lit(version).alias("map_version"))

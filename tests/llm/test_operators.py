@@ -148,11 +148,11 @@ def test_repeated_windows_come_from_the_intervals_of_the_suffix_array(monkeypatc
 # ---- near duplicates ----
 
 
-def brute_components(texts):
+def brute_components(texts, width=2):
     sets = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        sets.append(set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w})
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     parent = list(range(len(texts)))
 
     def root(x):
@@ -169,8 +169,8 @@ def brute_components(texts):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("block", [1500, 20])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "width"), [(1500, 2), (20, 2), (1500, 5)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block, width):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(3000)]
@@ -182,11 +182,11 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
             out[rng.randrange(len(out))] = rng.choice(words)
         return " ".join(out)
 
-    texts = [edited(rng.randint(0, 16)) for _ in range(150)]  # some above, some below the threshold
+    texts = [edited(rng.randint(0, 16 if width == 2 else 6)) for _ in range(150)]  # some above, some below the threshold
     texts += [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
-    texts += ["", None, "One", "one", "ONE  ", "a b", "b a", "É é", "é É"] + [" ".join(base[:40])] * 5
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(docs_of(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+    texts += ["", None, "One", "one", "a b c", "A b  c", "a b c d", "ONE  ", "a b", "b a", "É é", "é É"] + [" ".join(base[:40])] * 5
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(docs_of(spark, texts), shingle=width).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, width)
 
 
 def test_groups_of_the_settling_round_hold_two_blocks_and_every_pair_once(spark, monkeypatch):
@@ -209,6 +209,13 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
 
 
+def test_of_rows_that_share_a_doc_id_reruns_keep_the_same(spark):
+    rows = [(7, f"text number {i} of its own", "en", f"s{i}", i) for i in range(20)] + [(8, "another one", "en", "a", 1)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, two = ([tuple(r) for r in neardup.deduplicate(d).orderBy("doc_id").collect()] for d in (df, df.repartition(5, "n_chars")))
+    assert one == two and [r[0] for r in one] == [7, 8]
+
+
 def test_similarity_is_corrected_for_collisions():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
@@ -301,14 +308,35 @@ def test_mixed_documents_are_near_the_plan(spark):
 
 def test_shards_are_near_equal_and_places_gapless(spark):
     rng = random.Random(2)
-    rows = sharding.place(docs_of(spark, ["x" * rng.randint(0, 200) for _ in range(3000)])).collect()
-    size, places = Counter(), {}
+    texts = [str(rng.random()) * rng.randint(0, 12) for _ in range(3000)] + ["a copy"] * 40 + [None, ""]
+    rows = sharding.place(docs_of(spark, texts)).collect()
+    size, places, groups = Counter(), {}, {}
     for r in rows:
         size[r.shard] += r.size
         places.setdefault(r.shard, []).append(r.slot)
-        assert r.text_crc32 == zlib.crc32(b"x" * (r.size - 1)) and r.law == "bytes"
-    assert max(size.values()) - min(size.values()) <= 201
+        text = (texts[r.doc_id] or "").encode()
+        groups.setdefault(text, set()).add((r.shard, r.virtual_slot))
+        assert (r.size, r.text_crc32, r.law) == (len(text) + 1, zlib.crc32(text), "bytes")
+    assert max(size.values()) - min(size.values()) <= max(map(len, texts[:3000])) + 1
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert all(len(g) == 1 for g in groups.values())  # equal texts stay together
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_group_of_a_third_of_all_rows_is_dealt_out_and_others_stay_whole(spark, ids):
+    rows = [(i, f"text {i // 2}", "en", "a", 1) for i in range(2000)] + [(5000 + i if ids else None, "the same text", "en", "a", 1) for i in range(1000)]
+    got = sharding.place(spark.createDataFrame(rows, SCHEMA)).collect()
+    size, hot = Counter(), {r.virtual_slot for r in got if r.text_crc32 == zlib.crc32(b"the same text")}
+    for r in got:
+        size[r.shard] += r.size
+    assert len(hot) > 500 and max(size.values()) - min(size.values()) <= 30
+    small = {}
+    for r in got:
+        if r.text_crc32 != zlib.crc32(b"the same text"):
+            small.setdefault(r.text_crc32, set()).add(r.shard)
+    assert set(map(len, small.values())) == {1}
+    many = sharding.place(spark.createDataFrame(rows[:2000] + [(i, "few bytes", "en", "a", 1) for i in range(3000, 3010)], SCHEMA), group_rows=8).collect()
+    assert len({r.virtual_slot for r in many if r.doc_id >= 3000}) > 1
 
 
 def test_rebalancing_moves_slots_only_into_a_new_shard(spark, tmp_path):
@@ -323,7 +351,10 @@ def test_rebalancing_moves_slots_only_into_a_new_shard(spark, tmp_path):
     assert max(load.values()) - min(load.values()) <= 110
     for n, m in ((1, old), (2, new)):
         sharding.save_map(sharding.map_table(spark, m, stats, n), f"file://{tmp_path}/map")
-    assert sharding.load_map(spark, f"file://{tmp_path}/map") == new and sharding.load_map(spark, f"file://{tmp_path}/map", 1) == old
+    placed = sharding.place(docs_of(spark, [f"t {i}" for i in range(50)]), 9, slot_map=new, version=3, path=f"file://{tmp_path}/map").collect()
+    assert all(r.shard == new[r.virtual_slot] and r.map_version == 3 for r in placed)
+    assert sharding.load_map(spark, f"file://{tmp_path}/map", 3) == new
+    assert sharding.load_map(spark, f"file://{tmp_path}/map", 2) == new and sharding.load_map(spark, f"file://{tmp_path}/map", 1) == old
 
 
 # ---- language ID ----
@@ -350,6 +381,21 @@ def test_no_letter_is_undetermined_and_goes(spark):
     assert {r.doc_id % 6 for r in langid.drop_unidentified(df).collect()} == {0, 4}
 
 
+def test_number_signs_are_no_letters(spark):
+    texts = ["the cat sat on the mat"] * 9 + ["½ 12", "²³", "Ⅷ", "½ é", "५"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(9, 14)] == ["und", "und", "und", "en", "und"]
+
+
+def test_the_sample_of_a_large_language_is_bounded_and_a_rare_one_is_learned_whole(spark, monkeypatch):
+    texts = [f"word{i} of many" for i in range(400)] + ["le chat est noir", "la souris grise"]
+    df = docs_of(spark, texts, langs={400: "fr", 401: "fr"})
+    learned = {r.doc_id for r in df.filter(~langid.held_out()).collect()}
+    model = langid.train(df, 10)
+    whole = langid.train(df.filter("doc_id >= 400 or doc_id < 5"), 10)
+    assert model.langs == ["en"] + ["fr"] * bool({400, 401} & learned) == whole.langs
+
+
 # ---- language model ----
 
 
