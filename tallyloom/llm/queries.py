@@ -62,25 +62,7 @@ SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n
        coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
 FROM s LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
-    "op4_source_mix": """
-WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, hash(text) AS th,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-r AS (SELECT *, 3 * source_size AS most, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
-b AS (SELECT *, coalesce(sum(most) OVER o, 0)::BIGINT AS below, coalesce(sum(w) OVER o, 0)::BIGINT AS w_below,
-             sum(source_size) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS w_all
-      FROM r WINDOW o AS (ORDER BY most::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, (total - below)::DOUBLE / (w_all - w_below) AS level FROM b),
-m AS (SELECT *, first(level) OVER (ORDER BY CASE WHEN most::DOUBLE / w >= level THEN w_below END NULLS LAST) AS mu FROM l),
-t AS (SELECT source, source_size, least(most::DOUBLE, w * mu) AS target, round(least(most::DOUBLE, w * mu))::BIGINT AS quota FROM m),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.quota,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS whole FROM p)
-SELECT doc_id, size, source_size, target,
-       (whole * size + greatest(0, least(size, quota - whole * source_size - before)))::BIGINT AS taken FROM q
-""",
+    "op4_source_mix": mixing.oracle_sql(),
     "op9_decontaminate": """
 WITH norm AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),

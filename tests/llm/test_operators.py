@@ -296,11 +296,63 @@ def test_mix_meets_targets_and_caps(spark):
     assert all(abs(target[s] - (3 * size[s] if s in full else w[s] * unit)) < 1e-6 for s in size)
 
 
+def brute_rates(sizes, targets, cap=3):
+    """doc -> rate by two nested bisections. sizes: doc -> (source, words); targets: source -> words."""
+    own = {d: n for d, (_, n) in sizes.items() if n}
+    total = sum(own.values())
+    mean = sum(n * np.log(n) for n in own.values()) / total
+    by = {}
+    for d in own:
+        by.setdefault(sizes[d][0], []).append(d)
+    arrays = {s: (np.array([own[d] for d in ds], float), np.log([own[d] for d in ds]) - mean) for s, ds in by.items()}
+
+    def at(beta):
+        out = {}
+        for s, (n, x) in arrays.items():
+            if targets[s] >= cap * n.sum():
+                out[s] = np.full(len(n), float(cap))
+                continue
+            lo, hi = -60.0, 60.0
+            for _ in range(100):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (n * np.minimum(cap, np.exp(mid + beta * x))).sum() < targets[s] else (lo, mid)
+            out[s] = np.minimum(cap, np.exp(lo + beta * x))
+        return out
+
+    lo, hi = -20.0, 20.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        w = at(mid)
+        slope = sum((n * w[s] * x).sum() for s, (n, x) in arrays.items()) + mixing.RIDGE * total * mid
+        lo, hi = (lo, mid) if slope > 0 else (mid, hi)
+    w = at(lo)
+    return {d: float(r) for s, ds in by.items() for d, r in zip(ds, w[s])}
+
+
+def test_rates_minimise_the_dual_and_vary_by_document(spark):
+    rng = random.Random(9)
+    sources = {i: "abcde"[min(4, i // 60)] if i < 290 else None for i in range(300)}
+    texts = [" ".join(["w"] * rng.choice([0, 1, 3, 20, 100, 400])) for _ in range(300)]
+    rows = mixing.balance(docs_of(spark, texts, sources=sources)).collect()
+    want = brute_rates({r.doc_id: (r.source, r.size) for r in rows}, {r.source: r.target for r in rows})
+    assert all(abs(r.rate - want.get(r.doc_id, 0)) < 1e-6 for r in rows)
+    assert rows[0].newton_steps > 1 and len({round(r.rate, 6) for r in rows if r.source == "c" and r.size}) > 3
+    assert all(r.rate == 0 and r.taken == 0 for r in rows if not r.size)
+    assert all(abs(r.taken - r.rate * r.size) <= r.size for r in rows)
+
+
+def test_a_source_of_one_length_and_a_single_document_are_mixed(spark):
+    df = docs_of(spark, ["w w w"] * 50 + ["v " * 40], sources={i: "b" if i == 50 else "a" for i in range(51)})
+    got = {r.doc_id: r for r in mixing.balance(df).collect()}
+    assert abs(sum(got[i].taken for i in range(50)) - got[0].target) <= 1 and abs(got[50].taken - got[50].target) <= 1
+
+
 def test_mixed_documents_are_near_the_plan(spark):
-    df = docs_of(spark, ["w " * (i % 9 + 1) for i in range(200)])
+    df = docs_of(spark, ["w " * (i % 9 + 1) for i in range(200)]).withColumnRenamed("n_chars", "terms")
     plan = mixing.balance(df).collect()
-    n = Counter(r.doc_id for r in mixing.mix(df).collect())
-    assert all(n[r.doc_id] in (r.copies, r.copies + (1 if r.partial else 0)) for r in plan)
+    rows = mixing.mix(df)
+    n = Counter(r.doc_id for r in rows.collect())
+    assert rows.columns == df.columns and all(n[r.doc_id] in (r.copies, r.copies + (1 if r.partial else 0)) for r in plan)
 
 
 # ---- sharding ----

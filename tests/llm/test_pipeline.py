@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from tallyloom.llm import queries
 
-from tests.llm.test_operators import brute_bench, brute_components
+from tests.llm.test_operators import brute_bench, brute_components, brute_rates
 
 
 def plain(rows, items):
@@ -29,15 +29,18 @@ def plain(rows, items):
         if not over:
             break
         full |= over
+    targets = {s: 3 * own[s] if s in full else weight[s] * unit for s in own}
+    rate = brute_rates({r.doc_id: (r.source, size[r.doc_id]) for r in rows}, targets)
     copies = {}
     for s in own:
-        quota = round(3 * own[s] if s in full else weight[s] * unit)
-        whole, rest = divmod(quota, own[s])
-        for r in sorted((r for r in rows if r.source == s), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
-            n = size[r.doc_id]
-            extra = max(0, min(n, rest))
-            rest -= n
-            copies[r.doc_id] = whole + (1 if extra > 0 and 2 * extra >= n else 0)
+        mine = {r.doc_id: round(rate[r.doc_id], 9) for r in rows if r.source == s and size[r.doc_id]}
+        copies |= {d: int(w) for d, w in mine.items()}
+        rest = round(targets[s]) - sum(int(w) * size[d] for d, w in mine.items())
+        u = {d: int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) / 2**52 for d in mine}
+        for d in sorted((d for d, w in mine.items() if w > int(w)), key=lambda d: u[d] / (mine[d] - int(mine[d]))):
+            extra = max(0, min(size[d], rest))
+            rest -= size[d]
+            copies[d] += 1 if extra > 0 and 2 * extra >= size[d] else 0
     return {d: c for d, c in copies.items() if c}
 
 
