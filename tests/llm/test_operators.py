@@ -524,6 +524,34 @@ def test_a_rare_kind_has_its_threshold_beside_a_common_one(spark):
     assert got[64] == "email:9:33"
 
 
+def test_trees_add_and_reject_spans_by_their_context(spark):
+    def lines(i):
+        a, b = 200 + i, 1000 + 37 * i
+        return [f"call +1 ({a}) 555-{b} today", f"tel {a}-555-{b} or fax ({a}) 556-{b}", f"order no {a}-555-{b} shipped", f"invoice: {a} 557 {b} due", f"host 10.{i}.3.{i + 1} up", f"the server at 10[.]{i}[.]4[.]{i + 2} runs", f"version 10.{i}.2.{i} out", f"price $ {a}.555.{b} each", f"we were +1 ({a}) 777-{b} before", f"it came from 10.{i}.9.{i} again", f"it came from 10.{i}.999.{i} again"]
+
+    train = [x for i in range(60) for x in lines(i)]
+    asked = ["you can call 311-555-2345 all day", "see order no 311-555-2345 there", "found at 10[.]20[.]30[.]40 yesterday", "found at 10[.]20[.]30[.]940 yesterday", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" set']
+    got = [r.spans for r in pii.report(docs_of(spark, train + asked)).orderBy("doc_id").collect()][-5:]
+    assert got[:4] == ["phone:13:25", "", "ip:9:26", ""]
+    found = pii.propose(docs_of(spark, train))
+    model, limits = pii.fit(found)
+    weight = dict(zip(pii.FEATURES, model.featureImportances.toArray()))
+    assert {"ip", "phone"} <= set(limits) and sum(w > 0.02 for w in weight.values()) >= 3
+    # the base check holds, yet the label is 0 by context
+    assert found.filter("base and label = 0").count() >= 50
+
+
+def test_secrets_are_reported_apart(spark):
+    texts = [f'here token = "{hashlib.sha1(str(i).encode()).hexdigest()}" set, mail a{i}@b.com' for i in range(40)] + ["token = abcdefgh", "a plain text"]
+    got = {r.doc_id: r for r in pii.report(docs_of(spark, texts)).collect()}
+    assert got[0].secrets == "secret:14:54" and got[0].spans.startswith("email:") and got[0].n_spans == 2
+    assert (got[40].secrets, got[40].n_spans, got[41].n_spans) == ("", 0, 0)
+
+
+def test_scores_are_calibrated_by_isotonic_regression():
+    assert pii.calibrated([(0, 10, 0), (1, 10, 4), (2, 10, 2), (3, 10, 10)]) == [(0, 0.0), (1, 0.3), (3, 1.0)]
+
+
 def test_thresholds_count_every_labelled_proposal_outside_a_bounded_fit(spark):
     found = pii.propose(docs_of(spark, [f"a{i}@b.com, 10.0.0.{i} and 300.0.0.{i}" for i in range(100)] + ["x@y.org"]))
     sample, outside = pii._split(found, 80)
