@@ -554,7 +554,7 @@ def test_scores_are_calibrated_by_isotonic_regression():
 
 def test_thresholds_count_every_labelled_proposal_outside_a_bounded_fit(spark):
     found = pii.propose(docs_of(spark, [f"a{i}@b.com, 10.0.0.{i} and 300.0.0.{i}" for i in range(100)] + ["x@y.org"]))
-    sample, outside = pii._split(found, 80)
+    sample, outside = pii._split(found, 100)
     count = lambda df: Counter((r.kind, r.label) for r in df.collect())
     every, fits = count(found.filter("label is not null")), count(sample)
     assert set(fits.values()) == {10} and count(outside) == every - fits
