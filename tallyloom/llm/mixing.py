@@ -143,7 +143,7 @@ def _balanced(base: DataFrame, sources: DataFrame, mean: float, beta: float, cap
     whole, order = _copies(F.col("rate"))
     rows = rows.withColumns({"base_copies": whole, "q": order})
     # q in (0, inf) to a part in [0, parts)
-    parts = F.greatest(F.lit(16), F.ceil(F.col("rows") / PART_ROWS))
+    parts = F.greatest(F.lit(256), F.ceil(F.col("rows") / PART_ROWS))
     rows = materialize(rows.withColumn("part", F.when(F.col("q") < float("inf"), F.floor(parts * F.col("q") / (1 + F.col("q")))).otherwise(parts)).drop("s2"))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"), F.sum(F.col("base_copies") * F.col("size")).alias("taken_whole"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
