@@ -305,102 +305,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("cls"), "text")
 
 
-def repeated(self, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, same, twice) of the windows of `size` bytes from `start`: an order in which equal windows are
-        neighbours, whether each neighbour is equal to the one before, and whether a window has an equal."""
-        p, q = self.mark[start], self.mark[start + size - STEP - 7]
-        k = self.number[q] - self.number[p]
-        shared = self.common(int(k.max(initial=0)))
-        rank, interval = self.rank[self.number[p]], np.zeros(len(start), np.int64)
-        by = np.argsort(k, kind="stable")
-        edge = np.flatnonzero(np.diff(k[by], prepend=-1))
-        for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(by)]):
-            left = np.maximum.accumulate(np.where(shared < k[by[s]], np.arange(len(shared)), 0))  # each interval's first suffix
-            interval[by[s:e]] = left[rank[by[s:e]]]
-        ends = _join(self.stretch(start, p), self.stretch(q, start + size))
-        key = _join(_join(ends, (interval * 512 + k).astype(np.uint64)), ((p - start) * 512 + (q - p)).astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        hit = np.flatnonzero(same)
-        same[hit] = _equal(self.words, start[order[hit]], start[order[hit + 1]], size)
-        twice = np.zeros(len(start), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        return order, same, twice
-
-
-def _repeats(rows: list[tuple]):
-    """(cls, start, end, size, fp, hash, settled) of one task's complete groups.
-
-    rows: (fp, block, cut, cls, lo, starts, seg). Runs of window starts have fp None; for groups cut into blocks, one
-    row for each distinct window follows, for the comparison between blocks.
-    """
-    by: dict[bytes, dict] = {}
-    for r in rows:
-        by.setdefault(r[6], {})[r[3], r[4]] = r
-    many = [[*own.values()] for own in by.values()]
-    held = Pieces(list(by))
-    starts = np.array([max(r[5] for r in own) for own in many])
-    copied = np.array([len(own) > 1 for own in many])
-    for size in (SHORT, SPAN):
-        n = np.clip(held.size - size + 1, 0, starts)
-        piece = np.repeat(np.arange(len(many)), n)
-        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if not len(pos):
-            continue
-        start = held.first[piece] + pos
-        order, same, twice = held.repeated(start, size)
-        twice |= copied[piece]
-        run = np.flatnonzero(twice & np.concatenate([[True], ~twice[:-1] | (piece[1:] != piece[:-1])]))
-        stop = np.flatnonzero(twice & np.concatenate([~twice[1:] | (piece[1:] != piece[:-1]), [True]]))
-        for s, e in zip(run.tolist(), stop.tolist()):
-            for r in many[piece[s]]:
-                yield r[3], r[4] + int(pos[s]), r[4] + int(pos[e]) + 1, size, None, None, True
-        lead = order[np.concatenate([[True], ~same])]
-        lead = lead[np.array([any(r[2] for r in own) for own in many])[piece[lead]]]
-        if len(lead):
-            whole = string_hashes(held.data, size)
-            for i in lead.tolist():
-                r = many[piece[i]][0]
-                yield r[3], r[4] + int(pos[i]), r[4] + int(pos[i]) + 1, size, r[0], int(whole[start[i]].view(np.int64)), bool(twice[i])
-
-
-def _search(batches):
-    """Rows sorted by (fp, block): whole groups are taken together, about 1 MB of pieces at a time."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush(rows):
-        found = list(_repeats(rows))
-        cols = list(zip(*found)) if found else [()] * 7
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["cls", "s", "e", "size", "fp", "h", "settled"])
-
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("fp", "block", "cut", "cls", "lo", "starts", "seg")]
-        for row in zip(*cols):
-            if size >= 1_000_000 and held[-1][:2] != row[:2]:
-                yield flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[6])
-    if held:
-        yield flush(held)
-
-
-# ---- the job ----
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("cls"), "text")
-
-
-def _with_text(docs: DataFrame, small: DataFrame, entries: str, how: str) -> DataFrame:
-    """docs joined to a materialized table keyed by cls: by broadcast while all its arrays hold BROADCAST_ENTRIES entries at most, else by shuffle."""
-    n = small.agg(F.coalesce(F.sum(1 + F.greatest(F.size(entries), F.lit(0))), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(small) if n <= BROADCAST_ENTRIES else small, "cls", how)
-
-
 def repeated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(cls, whole, runs array<struct<s, e, size>>): per distinct text (cls = its MD5) the starts [s, e) of repeated windows
     of SHORT and of SPAN bytes; whole: equal texts exist."""
