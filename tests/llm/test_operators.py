@@ -468,11 +468,94 @@ def test_base_scores_against_brute_force_and_model_beats_uniform(spark, sf):
     assert np.mean([r.bits_per_byte for r in got.values() if r.held_out]) < 4
 
 
+def test_the_model_beats_the_same_without_contexts_and_reads_the_order_of_words(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    held = {r.doc_id: r for r in lm.score(df).collect() if r.held_out}
+    # a held-out text with its words in another order
+    text = max((r.text for r in df.filter(lm.held_out()).collect() if r.text), key=len)
+    words = text.split()
+    random.Random(1).shuffle(words)
+    at = [i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    more = df.unionByName(spark.createDataFrame([(at[0], " ".join(text.split()), "en", "a", 1), (at[1], " ".join(words), "en", "a", 1)], SCHEMA))
+    got = {r.doc_id: r for r in lm.score(more).collect()}
+    assert got[at[0]].base_score == pytest.approx(got[at[1]].base_score) and abs(got[at[0]].score - got[at[1]].score) > 1
+    plain = lm.Running.__init__
+
+    def without(self, texts, codes):
+        plain(self, texts, codes)
+        self.ctx[:] = self.ctx[0]
+
+    codes = lm.Codes(np.array([0, 5, 9]), np.array([7, 3, 2]), 4)
+    assert sum(2.0 ** -n for n in codes.size.tolist()) == 1  # a full code
+    train = [(r.text or "").encode().lower() for r in df.filter(~lm.held_out()).collect()]
+    test = [(r.text or "").encode().lower() for r in df.filter(lm.held_out()).collect()]
+    n = Counter(w for t in train for w in [*t.split(), lm.END])
+    heavy = [w for w, k in n.items() if k >= 20]
+    codes = lm.Codes(lm.token_hashes(heavy), np.array([n[w] for w in heavy]), sum(k for k in n.values() if k < 20))
+
+    def bits_of(init):
+        monkeypatch.setattr(lm.Running, "__init__", init)
+        table = np.zeros((2, lm.ORDERS << 16))
+        for slots, bit, _ in lm.Running(train, codes).bits(16):
+            for y in (0, 1):
+                table[y] += np.bincount(slots[:, bit == y].ravel(), minlength=table.shape[1])
+        mixer = lm.Mixer(*table, 16)
+        mixer.learn([lm.Running(train[:60], codes)], *table)
+        return -mixer.log10(lm.Running(test, codes), len(test)).sum()
+
+    assert bits_of(plain) < 0.97 * bits_of(without)
+    assert held
+
+
+def test_code_bits_against_a_plain_mixer():
+    rng = random.Random(2)
+    words = [f"w{i}".encode() for i in range(12)]
+    texts = [b" ".join(rng.choice(words) for _ in range(rng.randint(0, 15))) for _ in range(9)]
+    heavy = [*words[:7], lm.END]
+    codes = lm.Codes(lm.token_hashes(heavy), np.array([9, 8, 7, 6, 5, 4, 3, 9]), 11)
+    bits = 12
+    table = np.random.default_rng(3).integers(0, 40, (2, lm.ORDERS << bits)).astype(float)
+    mixer = lm.Mixer(*table, bits)
+    mixer.learn([lm.Running(texts, codes)], *table)
+    got = mixer.log10(lm.Running(texts, codes), len(texts))
+    key = {w: int(h) for w, h in zip([*words, lm.END], lm.token_hashes([*words, lm.END]))}
+    heavies = [int(k) for k in codes.keys]
+    M = 2**64
+    for d, text in enumerate(texts):
+        total, seen = 0.0, []
+        for w in [*text.split(), lm.END]:
+            h = key[w]
+            s = heavies.index(h) if h in heavies else len(heavies)
+            own = [x for x in seen if x in heavies]
+            u = lambda x: (x + 1) % M
+            one, two = (u(seen[-1]) if seen else 0), (u(seen[-2]) if len(seen) > 1 else 0)
+            ctx = [0, u(own[-1]) if own else 0, (u(own[-2]) if len(own) > 1 else 0) * int(lm._P), (one * int(lm._P) + two) * int(lm._Q)]
+            code, size = int(codes.code[s]), int(codes.size[s])
+            for j in range(size):
+                node = 1 << j | code >> (size - j)
+                bit = code >> (size - j - 1) & 1
+                slots = []
+                for k, c in enumerate(ctx):
+                    x = (c + int(lm._ORDER[k])) * int(lm._P) % M ^ node * int(lm._Q) % M
+                    x = (x ^ x >> 31) * int(lm._Q) % M
+                    slots.append((x >> (64 - bits)) + (k << bits))
+                gate = min(int(np.log2(table[:, slots[3]].sum() + 1)), 7) * 4 + min(int(np.log2(table[:, slots[2]].sum() + 1)) // 4, 3)
+                z = sum(mixer.weights[gate, k] * np.log((table[1, i] + 0.4) / (table[0, i] + 0.4)) for k, i in enumerate(slots))
+                p = (1 / (1 + np.exp(-z)) + mixer.table[gate, int(np.clip(np.rint(z * 2), -16, 16)) + 16]) / 2
+                total += np.log10(p if bit else 1 - p)
+            seen.append(h)
+        assert abs(total - got[d]) < 1e-4 * max(1, abs(total))
+
+
 def test_spelled_probabilities_sum_to_one_at_most():
     rng = np.random.default_rng(0)
-    m = lm.Mixer(rng.integers(0, 9, lm.ORDERS * lm.SLOTS).astype(float), rng.integers(0, 9, lm.ORDERS * lm.SLOTS).astype(float))
+    m = lm.Mixer(*rng.integers(0, 9, (2, lm.ORDERS << 12)).astype(float), 12)
     one = [bytes([i]) for i in range(256) if i not in (32, 10)]
-    assert sum(10 ** m.log10(one + [lm.END])) <= 1.0
+    assert sum(10 ** m.spelled(one + [lm.END])) <= 1.0
+
+
+def test_tables_grow_with_the_tokens():
+    assert [lm.table_bits(n) for n in (0, 100_000, 400_000, 10**9)] == [12, 14, 16, 18]
 
 
 # ---- PII ----
