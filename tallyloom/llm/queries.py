@@ -49,19 +49,7 @@ def op10_suffix_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
-    "op2_line_dedup": """
-WITH s AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
-l AS (SELECT doc_id, i AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
-p AS (SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.pos) AS nth
-      FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
-g AS (SELECT DISTINCT doc_id, pos + d AS pos FROM p, (VALUES (0), (1)) v(d) WHERE nth > 1),
-r AS (SELECT doc_id, count(*) AS len FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g) GROUP BY doc_id, run),
-m AS (SELECT doc_id, sum(len)::BIGINT AS n_removed, count(*) AS n_runs, max(len) AS longest_run FROM r GROUP BY doc_id),
-k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS kept FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
-SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
-       coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
-FROM s LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
-""",
+    "op2_line_dedup": linededup.oracle_sql(),
     "op4_source_mix": mixing.oracle_sql(),
     "op9_decontaminate": """
 WITH norm AS (

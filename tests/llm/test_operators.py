@@ -682,18 +682,47 @@ def test_chi_square_quantile():
 # ---- lines ----
 
 
-@pytest.mark.parametrize("depth", [2, 4])
-def test_line_runs_against_brute_force(spark, depth):
-    rng = random.Random(6)
-    texts = ["\n".join(rng.choice("abc \n") for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, "", "a", "q\nr\ns\nt\nu", "q\nr\ns\nt\nu"]
+def brute_lines(texts):
+    """(lines, deleted, runs, longest, kept) by comparing every line with every line before it."""
     lines = [[x for x in (t or "").split("\n") if x.strip(" ")] for t in texts]
-    seen, gone = set(), [set() for _ in texts]
-    for i, ls in enumerate(lines):
-        for p in range(len(ls) - depth + 1):
-            w = tuple(ls[p : p + depth])
-            if w in seen:
-                gone[i].update(range(p, p + depth))
-            seen.add(w)
-    got = {r.doc_id: r for r in linededup.deduplicate(docs_of(spark, texts), depth).collect()}
-    for i, ls in enumerate(lines):
-        assert (got[i].n_lines, got[i].n_removed, got[i].kept) == (len(ls), len(gone[i]), "\n".join(x for p, x in enumerate(ls) if p not in gone[i]))
+    places = [(d, p) for d, ls in enumerate(lines) for p in range(len(ls))]
+    run = lambda d, p, n: tuple(lines[d][p : p + n]) if p + n <= len(lines[d]) else None
+    gone, longest = [set() for _ in texts], [0] * len(texts)
+    for d, ls in enumerate(lines):
+        first = texts.index(texts[d])
+        if first < d:
+            if len(ls) > 1 or ls and len(ls[0].split()) > linededup.LONG:
+                gone[d], longest[d] = set(range(len(ls))), len(ls)
+            continue
+        for p in range(len(ls)):
+            best = None
+            for k in range(12):
+                n = 1 << k
+                if run(d, p, n) is None or k == 0 and len(ls[p].split()) <= linededup.LONG:
+                    continue
+                e, q = next(x for x in places if run(*x, n) == run(d, p, n))
+                if (e, q) < (d, p) and (e != d or q <= p - (2 if k else 1)):
+                    best = (k, e, q)
+            if best:
+                k, e, q = best
+                n = 0
+                while p + n < len(ls) and q + n < len(lines[e]) and ls[p + n] == lines[e][q + n]:
+                    n += 1
+                longest[d] = max(longest[d], min(n, p - q) if e == d else n)
+                gone[d] |= {p} if k == 0 else {p, p + 1}
+    return [(len(ls), len(g), sum(p - 1 not in g for p in g), m, "\n".join(x for p, x in enumerate(ls) if p not in g)) for ls, g, m in zip(lines, gone, longest)]
+
+
+def test_line_runs_against_brute_force(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["\n".join(rng.choice("abc \n") for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, "", "a", "a", "q\nr\ns\nt\nu", "q\nr\ns\nt\nu", "a\na\na\nx", "y\ny\ny\ny", long, f"k\n{long}\nm", long, "\n".join(map(str, range(30))), "z\n" + "\n".join(map(str, range(3, 25))) + "\nend", "\n".join(map(str, range(7, 18)))]
+    got = {r.doc_id: r for r in linededup.deduplicate(docs_of(spark, texts)).collect()}
+    assert [(got[i].n_lines, got[i].n_removed, got[i].n_runs, got[i].longest_run, got[i].kept) for i in range(len(texts))] == brute_lines(texts)
+
+
+def test_overlapping_copies_keep_the_first_whole(spark):
+    texts = ["a\na\na\nx", "b\nb\nb\nb", "c\nd\nc\nd\nc\nd", "one\ntwo", "ONE\ntwo", None]
+    got = {r.doc_id: r for r in linededup.deduplicate(docs_of(spark, texts)).collect()}
+    assert [got[i].kept for i in range(6)] == ["a\na\na\nx", "b\nb", "c\nd", "one\ntwo", "ONE\ntwo", ""]
+    assert [got[i].longest_run for i in range(3)] == [0, 2, 2]
