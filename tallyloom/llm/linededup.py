@@ -68,11 +68,12 @@ def suffix_ranks(docs: DataFrame, texts: DataFrame) -> list[DataFrame]:
 
     d identifies the text, first is the place of the first suffix of that rank, long belongs to the first line.
     """
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # texts become line ids before anything is joined
+    seq = docs.select("doc_id", F.xxhash64("text").alias("th"), F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("a"), _long(x).alias("long"))).alias("ids"))
     copies = texts.filter("n > 1").select(F.col("th").alias("t2"), "rep")
-    one = keyed.join(copies, keyed["th"] == copies["t2"], "left").filter(F.col("t2").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
-    seq = one.select("doc_id", "th", F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("a"), _long(x).alias("long"))).alias("ids"))
-    at = seq.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("d"), F.posexplode("ids").alias("pos", "x")).select("doc_id", "th", "d", "pos", "x.a", "x.long").distinct().withColumn("b", F.lit(0).cast("long"))
+    one = seq.join(copies, seq["th"] == copies["t2"], "left").filter(F.col("t2").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
+    at = one.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("d"), F.posexplode("ids").alias("pos", "x")).select("doc_id", "th", "d", "pos", "x.a", "x.long").distinct()
+    at = materialize(at).withColumn("b", F.lit(0).cast("long"))
     out: list[DataFrame] = []
     while True:
         shared = at.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1").select("a", "b", "first")
@@ -136,7 +137,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     facts = texts.filter("n > 1").join(found.select(F.col("th").alias("t2"), "doc_id", "gone", "longest"), F.col("th") == F.col("t2"), "full_outer")
     facts = materialize(facts.select(F.coalesce("th", "t2").alias("__t"), F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("n") > 1, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), "gone", "longest"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__h"), "text")
-    out = keyed.join(facts, keyed["__h"] == facts["__t"], "left").withColumn("lines", _lines(F.col("text")))
+    out = keyed.join(facts.hint("merge"), keyed["__h"] == facts["__t"], "left").withColumn("lines", _lines(F.col("text")))
     size = F.size("lines")
     copy = (F.col("n") > 1) & ~F.col("doc_id").eqNullSafe(F.col("rep"))
     whole = F.coalesce(copy, F.lit(False)) & ((size >= MIN_RUN) | (size == 1) & _long(F.get("lines", F.lit(0))))
