@@ -15,7 +15,7 @@ MARK, KEY_MARK = "[REDACTED]", "[REDACTED PRIVATE KEY]"
 # Token prefixes of vendors and the least length of the whole token.
 PREFIXES = (("github_pat_", 24), ("ghp_", 20), ("gho_", 20), ("ghu_", 20), ("ghs_", 20), ("ghr_", 20), ("glpat-", 20), ("xoxb-", 20), ("xoxp-", 20), ("xoxa-", 20), ("xoxr-", 20), ("sk-proj-", 24), ("sk_live_", 20), ("rk_live_", 20), ("whsec_", 20), ("sk-", 20), ("pypi-", 20), ("npm_", 20), ("hf_", 20), ("AKIA", 20), ("ASIA", 20), ("AIza", 24), ("ya29.", 20), ("SG.", 20))
 # Names of secrets, and names that only look like them.
-SECRET_NAMES = frozenset("secret token password passwd passphrase apikey privatekey privatekeyid authorization proxyauthorization credential credentials cookie setcookie xapikey xauthtoken clientsecret accesstoken refreshtoken authtoken webhooksecret signingsecret encryptionkey awssecretaccesskey databasepassword".split())
+SECRET_NAMES = ("secret", "token", "password", "passwd", "passphrase", "apikey", "privatekey", "privatekeyid", "authorization", "proxyauthorization", "credential", "credentials", "cookie", "setcookie", "xapikey", "xauthtoken", "clientsecret", "accesstoken", "refreshtoken", "authtoken", "webhooksecret", "signingsecret", "encryptionkey", "awssecretaccesskey", "databasepassword")
 SECRET_ENDINGS = ("secret", "password", "privatekey", "credential", "token")
 METRIC_PARTS = ("tokenbudget", "tokencount", "tokenlimit", "tokenusage", "tokenwindow", "contextwindow")
 METRIC_NAMES = frozenset(("maxtoken", "mintoken"))
