@@ -536,9 +536,9 @@ def test_code_bits_against_a_plain_mixer():
                 bit = code >> (size - j - 1) & 1
                 slots = []
                 for k, c in enumerate(ctx):
-                    x = (c + int(lm._ORDER[k])) * int(lm._P) % M ^ node * int(lm._Q) % M
-                    x = (x ^ x >> 31) * int(lm._Q) % M
-                    slots.append((x >> (64 - bits)) + (k << bits))
+                    x = ((c + int(lm._ORDER[k])) * int(lm._P) % M >> 32) ^ node * int(lm._M) % 2**32
+                    x = (x ^ x >> 15) * int(lm._N) % 2**32
+                    slots.append((x >> (32 - bits)) + (k << bits))
                 gate = min(int(np.log2(table[:, slots[3]].sum() + 1)), 7) * 4 + min(int(np.log2(table[:, slots[2]].sum() + 1)) // 4, 3)
                 z = sum(mixer.weights[gate, k] * np.log((table[1, i] + 0.4) / (table[0, i] + 0.4)) for k, i in enumerate(slots))
                 p = (1 / (1 + np.exp(-z)) + mixer.table[gate, int(np.clip(np.rint(z * 2), -16, 16)) + 16]) / 2
