@@ -33,12 +33,20 @@ def apply_changes(old_facts: DataFrame, new_facts: DataFrame, changes: DataFrame
     return kept.unionByName(fresh)
 
 
-def fingerprint(files: DataFrame, group: list[str] | None = None, buckets: int = 256) -> DataFrame:
-    """A digest of the set of (path, digest), whatever the order: buckets by hash are digested first, then their digests."""
+def fingerprint(files: DataFrame, group: list[str] | None = None, rows: int = 10_000) -> DataFrame:
+    """A digest of the set of (path, digest), whatever the order.
+
+    Lines are digested by prefixes of the path's MD5, so many that each holds about `rows` lines; the digests then by
+    prefixes shorter by two, so that none but the last lists holds more than 256 of them.
+    """
     keys = group or []
-    line = F.concat_ws("\x00", "path", "digest")
-    inner = files.groupBy(*keys, F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
-    return inner.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("fingerprint"))
+    n, digits = files.count(), 2
+    while 16**digits * rows < n:
+        digits += 2
+    level = files.select(*keys, F.md5("path").alias("k"), F.concat_ws("\x00", "path", "digest").alias("x"))
+    for d in range(digits, -1, -2):
+        level = level.groupBy(*keys, F.substring("k", 1, d).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("x"))
+    return level.select(*keys, F.col("x").alias("fingerprint"))
 
 
 def coverage(rows: DataFrame, keys: list[str], reasons: int = 5) -> DataFrame:
@@ -168,10 +176,14 @@ def snapshot_match(artifacts: DataFrame, snapshot: dict[str, str]) -> DataFrame:
     return artifacts.withColumn("matches", F.when(declares, ~differs))
 
 
-def text_consumers(files: DataFrame, symbols: DataFrame, sources: DataFrame, max_bytes: int = 256 << 10, most: int | None = None) -> DataFrame:
-    """Other files that hold a symbol of three letters or more, with the symbol's first line."""
-    small = files.filter(F.octet_length("text") <= max_bytes).join(sources.select("path"), "path", "left_anti")
-    names = F.broadcast(symbols.filter(F.length("symbol") >= 3).select("symbol").distinct().orderBy("symbol").limit(16))
+def text_consumers(files: DataFrame, symbols: DataFrame, sources: DataFrame, max_bytes: int | None = None, symbols_most: int | None = None, most: int | None = None) -> DataFrame:
+    """Other files that hold a symbol of three letters or more, with the symbol's first line. The caps are off unless given.
+
+    The selected symbols are a few words that a user names; they are broadcast.
+    """
+    small = (files if max_bytes is None else files.filter(F.octet_length("text") <= max_bytes)).join(sources.select("path"), "path", "left_anti")
+    names = symbols.filter(F.length("symbol") >= 3).select("symbol").distinct()
+    names = F.broadcast(names if symbols_most is None else names.orderBy("symbol").limit(symbols_most))
     hit = small.join(names, F.contains("text", F.col("symbol")))
     before = F.substring("text", F.lit(1), F.instr("text", F.col("symbol")) - 1)
     out = hit.select("path", "symbol", (F.length(before) - F.length(F.translate(before, "\n", "")) + 1).alias("line"))

@@ -33,7 +33,7 @@ def consumers(edges: DataFrame, tables: tuple = ("imports", "calls")) -> DataFra
     return edges.filter(F.col("table").isin(*tables)).select(F.col("target_path").alias("path"), F.col("source_path").alias("consumer")).distinct()
 
 
-def impact(deps: DataFrame, seeds: DataFrame, max_depth: int | None = 8, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+def impact(deps: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(node, depth, path): what depends on the seeds, breadth first, each node by its first path.
 
     The order of a level is (parent's order, name), which is the order of the paths themselves; so the least path
@@ -184,7 +184,7 @@ def affected_packages(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select("node").unionByName(one).distinct()
 
 
-def policy_evidence(policies: DataFrame, edges: DataFrame, most: int | None = 256) -> DataFrame:
+def policy_evidence(policies: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(policy_id, path, hop, label) within two hops of each policy's targets over typed edges, undirected, the nearest hop of each path."""
     both = edges.select("source", "target", "label").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "label"))
     start = policies.select("policy_id", F.col("target").alias("path")).distinct()

@@ -113,11 +113,12 @@ def drifted(listing: DataFrame, cursors: DataFrame) -> DataFrame:
     return rows.unionByName(marks.filter("n = 0").select("scope", F.lit(None).cast(listing.schema["id"].dataType).alias("id"), "watermark"))
 
 
-def search_records(records: DataFrame, needle: str, scopes: list[str], limit: int = 50, offset: int = 0, max_bytes: int = 1 << 20) -> DataFrame:
+def search_records(records: DataFrame, needle: str, scopes: list[str], limit: int | None = None, offset: int = 0, max_bytes: int | None = None) -> DataFrame:
     """Records of the scopes that hold the needle in any case, with their first line that isn't blank, by (scope, origin, path)."""
-    hit = records.filter(F.col("scope").isin(scopes) & (F.octet_length("text") <= max_bytes) & F.contains(F.lower("text"), F.lower(F.lit(needle))))
+    hit = (records if max_bytes is None else records.filter(F.octet_length("text") <= max_bytes)).filter(F.col("scope").isin(scopes) & F.contains(F.lower("text"), F.lower(F.lit(needle))))
     first = F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    return hit.select("scope", "origin", "path", F.trim(first).alias("summary")).orderBy("scope", "origin", "path").offset(offset).limit(limit)
+    out = hit.select("scope", "origin", "path", F.trim(first).alias("summary")).orderBy("scope", "origin", "path").offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def export_records(records: DataFrame, scope: str, path: str) -> None:

@@ -37,7 +37,8 @@ def x2_apply_changes(spark, sf_dir):
     return X.apply_changes(old, new, X.diff_snapshots(old, new, "g2"))
 
 
-@query()
+@query(f"""WITH {FILES}, i AS (SELECT lang, substr(md5(path), 1, 2) AS k, sha256(string_agg(path || chr(0) || digest, chr(10) ORDER BY path || chr(0) || digest)) AS x FROM files GROUP BY ALL)
+SELECT lang, sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint FROM i GROUP BY lang""")
 def a15_fingerprint(spark, sf_dir):
     return X.fingerprint(files(spark, sf_dir), ["lang"])
 
@@ -147,7 +148,7 @@ def j21_detect(spark, sf_dir):
 SELECT path, symbol, len(substr(text, 1, instr(text, symbol) - 1)) - len(replace(substr(text, 1, instr(text, symbol) - 1), chr(10), '')) + 1 AS line FROM files, s WHERE len(symbol) >= 3 AND strlen(text) <= 262144 AND contains(text, symbol) AND source <> 'src0'""")
 def j22_text_consumers(spark, sf_dir):
     f = files(spark, sf_dir)
-    return X.text_consumers(f.select("path", "text"), spark.createDataFrame([("thingesa",), ("erbl",), ("lich",), ("zu",)], "symbol string"), f.filter(F.col("source") == "src0"))
+    return X.text_consumers(f.select("path", "text"), spark.createDataFrame([("thingesa",), ("erbl",), ("lich",), ("zu",)], "symbol string"), f.filter(F.col("source") == "src0"), max_bytes=256 << 10, symbols_most=16)
 
 
 @query("""WITH t AS (SELECT p_partkey AS row_key, lower(p_name) AS token FROM part UNION SELECT p_partkey, lower(p_brand) || '/' || p_size FROM part),
@@ -228,7 +229,7 @@ def r7_upsert_records(spark, sf_dir):
 @query("""SELECT role AS scope, conv_id * 100 + turn AS path, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS summary FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), 'the') ORDER BY role, conv_id * 100 + turn LIMIT 50 OFFSET 10""")
 def t8_search_records(spark, sf_dir):
     t = turns(spark, sf_dir).select(F.col("role").alias("scope"), F.lit("conv").alias("origin"), F.col("seq").alias("path"), "text")
-    return R.search_records(t, "THE", ["user", "assistant"], 50, 10).select("scope", "path", "summary")
+    return R.search_records(t, "THE", ["user", "assistant"], 50, 10, max_bytes=1 << 20).select("scope", "path", "summary")
 
 
 @query("""SELECT o_orderkey::VARCHAR AS original_id, substr(sha256(o_orderkey || '|' || o_orderpriority), 1, 24) AS id, o_orderstatus AS state FROM orders WHERE o_orderkey % 4 <> 0""")
@@ -238,7 +239,13 @@ def s10_import_records(spark, sf_dir):
     return R.import_records(store, o).select("original_id", "id", "state")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS claim_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+  CASE event_type WHEN 'click' THEN 'validated' WHEN 'purchase' THEN 'active' WHEN 'view' THEN 'superseded' WHEN 'error' THEN 'rejected' ELSE 'tombstoned' END AS s FROM events),
+f(claim_id, n, state, refused) AS (SELECT DISTINCT claim_id, 0::BIGINT, 'proposed', 0::BIGINT FROM e UNION ALL
+  SELECT claim_id, n, CASE WHEN ok THEN s ELSE state END, refused + CASE WHEN ok THEN 0 ELSE 1 END FROM (
+    SELECT f.claim_id, e.n, e.s, f.state, f.refused, (state = 'proposed' AND s IN ('validated', 'rejected', 'tombstoned')) OR (state = 'validated' AND s IN ('active', 'rejected', 'tombstoned')) OR (state = 'active' AND s IN ('superseded', 'tombstoned')) AS ok
+    FROM f JOIN e ON e.claim_id = f.claim_id AND e.n = f.n + 1))
+SELECT claim_id, arg_max(state, n) AS state, max(refused) AS refused FROM f GROUP BY claim_id""")
 def r10_fold_claims(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     step = F.when(F.col("event_type") == "click", "validated").when(F.col("event_type") == "purchase", "active").when(F.col("event_type") == "view", "superseded").when(F.col("event_type") == "error", "rejected").otherwise("tombstoned")

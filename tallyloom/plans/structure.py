@@ -208,7 +208,7 @@ r(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT e.source, r.depth + 1
 SELECT node, min(depth) AS depth, min(depth) + 1 AS steps FROM r GROUP BY node HAVING min(depth) > 0""")
 def g3_impact(spark, sf_dir):
     seeds = table(spark, sf_dir, "part").filter("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("node"))
-    return G.impact(edges(spark, sf_dir), seeds).select("node", "depth", F.size("path").alias("steps"))
+    return G.impact(edges(spark, sf_dir), seeds, max_depth=8).select("node", "depth", F.size("path").alias("steps"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, reach(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM reach r JOIN edges e ON e.source = r.b),
@@ -251,10 +251,15 @@ SELECT policy_id, path, label, hop FROM r WHERE n <= 256""")
 def g9_policy_evidence(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("label", F.concat(F.lit("import"), (F.col("source") % 3).cast("string")))
     p = table(spark, sf_dir, "part").filter("p_size = 7").select(F.col("p_brand").alias("policy_id"), F.col("p_partkey").alias("target"))
-    return G.policy_evidence(p, e).select("policy_id", "path", "label", "hop")
+    return G.policy_evidence(p, e, 256).select("policy_id", "path", "label", "hop")
 
 
-@query()
+@query(f"""WITH {EDGES}, hits AS (SELECT p_partkey AS row_key, p_retailprice AS score FROM part WHERE p_name = 'red widget'), b AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
+f0 AS MATERIALIZED (SELECT row_key, 0 AS distance, score FROM hits ORDER BY score DESC, row_key LIMIT 20),
+f1 AS MATERIALIZED (SELECT target AS row_key, 1 AS distance, max(score) AS score FROM b JOIN f0 ON source = row_key WHERE target NOT IN (SELECT row_key FROM f0) GROUP BY target ORDER BY 3 DESC, 1 LIMIT 20),
+f2 AS MATERIALIZED (SELECT target AS row_key, 2 AS distance, max(score) AS score FROM b JOIN f1 ON source = row_key WHERE target NOT IN (SELECT row_key FROM f0 UNION ALL SELECT row_key FROM f1) GROUP BY target ORDER BY 3 DESC, 1 LIMIT 20),
+s AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2)
+SELECT row_key, distance, score FROM (SELECT *, distance AS o FROM s UNION ALL SELECT row_key, NULL, score, 3 FROM hits WHERE row_key NOT IN (SELECT row_key FROM s)) ORDER BY o, score DESC, row_key LIMIT 60""")
 def g10_expand_relations(spark, sf_dir):
     hits = table(spark, sf_dir, "part").filter("p_name = 'red widget'").select(F.col("p_partkey").alias("row_key"), F.col("p_retailprice").alias("score"))
     return G.expand_relations(hits, edges(spark, sf_dir), 2, 60)
