@@ -132,8 +132,3 @@ def relation_state(outcome: Column) -> Column:
     status = F.when(outcome == "resolved", "resolved").when(outcome == "partial", "partial").otherwise("candidate")
     score = F.when(outcome == "resolved", 1.0).when(outcome == "partial", 0.75).otherwise(0.5)
     return F.struct(status.alias("status"), score.alias("confidence"))
-
-
-def nearest_rank(column: str, q: float) -> Column:
-    """The element at ceil(n * q), from 1; nulls don't count."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")

@@ -73,8 +73,10 @@ def resolve_as_of(references: DataFrame, declarations: DataFrame) -> DataFrame:
     """
     nxt = F.lead("statement").over(W.partitionBy("name", "identity").orderBy("statement"))
     spans = declarations.withColumn("until", nxt).filter(F.col("operation") == "add").select("name", "identity", F.col("statement").alias("since"), "until")
-    j = references.join(spans, "name", "left").withColumn("seen", (F.col("since") < F.col("statement")) & (F.col("until").isNull() | (F.col("until") >= F.col("statement"))))
-    out = j.groupBy("ref_id", "name", "statement").agg(F.array_sort(F.collect_set(F.when(F.col("seen"), F.col("identity")))).alias("identities"))
+    spans = spans.withColumnRenamed("name", "n2")
+    seen = (F.col("name") == F.col("n2")) & (F.col("since") < F.col("statement")) & (F.col("until").isNull() | (F.col("until") >= F.col("statement")))
+    j = references.join(spans, seen, "left")  # the interval is judged in the join: only rows that are seen leave it
+    out = j.groupBy("ref_id", "name", "statement").agg(F.array_sort(F.collect_set("identity")).alias("identities"))
     n = F.size("identities")
     return out.withColumn("state", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import query_tokens
+from tallyloom.functions.scratch import materialize
 from tallyloom.operators.changes import in_scope
 
 WEIGHTS = {"path": 2, "title": 4, "body": 1}
@@ -32,33 +34,66 @@ def terms_of(query: str) -> list[tuple[str, bool]]:
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """(term, fact_key, field, tf); write it bucketed or sorted by term and search it many times."""
-    one = [docs.select("fact_key", F.lit(c).alias("field"), F.explode(query_tokens(F.col(c))).alias("term")) for c in WEIGHTS]
-    every = one[0].unionByName(one[1]).unionByName(one[2])
-    return every.groupBy("term", "fact_key", "field").agg(F.count("*").alias("tf"))
+    """(term, fact_key, field, tf) for docs with a row a fact; write it bucketed or sorted by term and search it many times.
+
+    A text's terms are sorted and counted within its row, so that nothing is shuffled.
+    """
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.array_sort(query_tokens(F.col(c))).alias("t")) for c in WEIGHTS])
+    one = docs.select("fact_key", F.explode(fields).alias("x")).select("fact_key", "x.field", "x.t").filter(F.size("t") > 0)
+    n = F.size("t")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    cut = one.select("fact_key", "field", "t", first.alias("at"))
+    counts = F.transform("at", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("long").alias("tf")))
+    return cut.select("fact_key", "field", F.explode(counts).alias("c")).select("c.term", "fact_key", "field", "c.tf")
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("fact_key", sum((F.size(query_tokens(F.coalesce(F.col(c), F.lit("")))) for c in WEIGHTS), F.lit(0)).cast("long").alias("dl"))
 
 
-def search(docs: DataFrame, query: str, kinds: list[str] | None = None, prefixes: list[str] | None = None, mode: str = "all", limit: int | None = None, offset: int = 0, boost: str = "multiply", postings: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 over weighted term counts, times the kind's boost; ties by key. Statistics are those of all documents.
+def _is(term: str, prefix: bool):
+    return (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
 
-    Only the postings of the query's few terms are aggregated, and lengths are joined to matching documents alone.
-    """
-    wanted = terms_of(query)
-    post = build_postings(docs) if postings is None else postings
+
+def _scan_terms(docs: DataFrame, wanted: list[tuple[str, bool]]) -> tuple[DataFrame, DataFrame]:
+    """(q, fact_key, wtf) and (fact_key, dl) from one scan that writes a few numbers a document."""
+    toks = docs.select("fact_key", *[F.coalesce(query_tokens(F.col(c)), F.array().cast("array<string>")).alias(c) for c in WEIGHTS])
+    count = lambda t, p: sum((w * F.size(F.filter(F.col(c), _is(t, p))) for c, w in WEIGHTS.items()), F.lit(0))
+    wtf = F.array(*[count(t, p).cast("double") for t, p in wanted])
+    rows = materialize(toks.select("fact_key", sum((F.size(c) for c in WEIGHTS), F.lit(0)).cast("long").alias("dl"), wtf.alias("w")))
+    hits = rows.select("fact_key", F.posexplode("w").alias("q", "wtf")).filter("wtf > 0")
+    return hits.select("q", "fact_key", "wtf"), rows.select("fact_key", "dl")
+
+
+def _posted_terms(docs: DataFrame, wanted: list[tuple[str, bool]], post: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = None
     for n, (t, prefix) in enumerate(wanted):
         one = post.filter(F.col("term").startswith(t) if prefix else F.col("term") == t).withColumn("q", F.lit(n))
         hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return docs.limit(0).select("fact_key", "kind", "path", F.lit(0.0).alias("score"))
     weight = F.create_map(*[F.lit(x) for c, w in WEIGHTS.items() for x in (c, w)])
-    by = hits.groupBy("q", "fact_key").agg(F.sum(F.col("tf") * weight[F.col("field")]).cast("double").alias("wtf"))
-    df = by.groupBy("q").agg(F.count("*").alias("df"))
-    lengths = document_lengths(docs)
+    return hits.groupBy("q", "fact_key").agg(F.sum(F.col("tf") * weight[F.col("field")]).cast("double").alias("wtf")), document_lengths(docs)
+
+
+def _page(out: DataFrame, order: list, offset: int, limit: int | None) -> DataFrame:
+    """Rows offset to offset + limit in order; with a limit, `has_more` tells whether others follow."""
+    if limit is None:
+        return out.orderBy(*order)
+    page = out.orderBy(*order).offset(offset).limit(limit + 1)  # a window over one page
+    r = page.withColumn("__r", F.row_number().over(W.orderBy(*order))).withColumn("has_more", F.count("*").over(W.partitionBy()) > limit)
+    return r.filter(F.col("__r") <= limit).drop("__r").orderBy(*order)
+
+
+def search(docs: DataFrame, query: str, kinds: list[str] | None = None, prefixes: list[str] | None = None, mode: str = "all", limit: int | None = None, offset: int = 0, boost: str = "multiply", postings: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 over weighted term counts, times the kind's boost; ties by key. Statistics are those of all documents.
+
+    With postings only those of the query's few terms are read; without, texts are tokenised once. A limit adds `has_more`.
+    """
+    wanted = terms_of(query)
+    if not wanted:
+        none = docs.limit(0).select("fact_key", "kind", "path", F.lit(0.0).alias("score"))
+        return none if limit is None else none.withColumn("has_more", F.lit(False))
+    by, lengths = _scan_terms(docs, wanted) if postings is None else _posted_terms(docs, wanted, postings)
+    df = by.groupBy("q").agg(F.count("*").alias("df"))  # a row a term of the query
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     j = by.join(F.broadcast(df), "q").join(lengths, "fact_key").crossJoin(stats)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -70,8 +105,7 @@ def search(docs: DataFrame, query: str, kinds: list[str] | None = None, prefixes
     if kinds:
         out = out.filter(F.col("kind").isin(kinds))
     score = F.col("raw") * _boost(F.col("kind")) if boost == "multiply" else F.col("raw") / _boost(F.col("kind"))
-    out = out.select("fact_key", "kind", "path", score.alias("score")).orderBy(F.desc("score"), "fact_key")
-    return out if limit is None else out.offset(offset).limit(limit)
+    return _page(out.select("fact_key", "kind", "path", score.alias("score")), [F.desc("score"), F.col("fact_key")], offset, limit)
 
 
 def _count(text: Column, needle: str) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import auth_state, classify_tool, nearest_rank, stable_id
+from tallyloom.functions.columns import auth_state, classify_tool, stable_id
+from tallyloom.functions.quantiles import with_quantiles
 
 # ---- normalisation ----
 
@@ -144,7 +145,8 @@ def backend_summary(calls: DataFrame, registered: DataFrame) -> DataFrame:
     own = calls.filter(F.col("operation") == "tools/call")
     order = F.struct("at", "seq")
     last = F.max_by(F.struct("at", "ok", "error_type"), order)
-    agg = own.groupBy("backend").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), nearest_rank("duration_ms", 0.5).alias("p50_ms"), nearest_rank("duration_ms", 0.95).alias("p95_ms"), last.alias("last"))
+    agg = own.groupBy("backend").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), last.alias("last"))
+    agg = with_quantiles(agg, own, ["backend"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
     got = agg.select("backend", "calls", "errors", "p50_ms", "p95_ms", F.col("last.at").alias("last_at"), F.when(~F.col("last.ok"), F.col("last.error_type")).alias("last_error"), auth_state(F.col("last.ok"), F.col("last.error_type")).alias("auth_state"))
     silent = registered.select("backend").distinct().join(got, "backend", "left_anti")
     none = silent.select("backend", F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("errors"), *[F.lit(None).cast(t).alias(c) for c, t in (("p50_ms", "double"), ("p95_ms", "double"), ("last_at", got.schema["last_at"].dataType), ("last_error", "string"), ("auth_state", "string"))])
@@ -191,7 +193,9 @@ def missing_evidence(events: DataFrame, samples: DataFrame, quotas: DataFrame) -
 
 def timing_summary(samples: DataFrame, group: list[str], value: str) -> DataFrame:
     """Count, median of the middle two and nearest-rank 95th percentile, to 3 decimals."""
-    return samples.groupBy(*group).agg(F.count(value).alias("n"), F.round(F.percentile(value, 0.5), 3).alias("median"), F.round(nearest_rank(value, 0.95), 3).alias("p95"))
+    n = samples.groupBy(*group).agg(F.count(value).alias("n"))
+    out = with_quantiles(n, samples, group, value, {"p95": 0.95}, "median")
+    return out.select(*group, "n", F.round("median", 3).alias("median"), F.round("p95", 3).alias("p95"))
 
 
 def resource_integrals(samples: DataFrame) -> DataFrame:
@@ -204,7 +208,8 @@ def matched_savings(runs: DataFrame, keys: list[str], value: str, base: str = "b
     """Per key the mean baseline less the mean intervention of successful runs, then count, median and spread over keys."""
     by = runs.filter("success").groupBy(*keys).agg(*[F.avg(F.when(F.col("variant") == v, F.col(value))).alias(v) for v in (base, changed)])
     saved = by.filter(F.col(base).isNotNull() & F.col(changed).isNotNull()).select((F.col(base) - F.col(changed)).alias("saved"))
-    return saved.agg(F.count("*").alias("pairs"), F.avg("saved").alias("mean_saved"), F.percentile("saved", 0.5).alias("median_saved"), F.stddev_samp("saved").alias("spread"))
+    one = saved.agg(F.count("*").alias("pairs"), F.avg("saved").alias("mean_saved"), F.stddev_samp("saved").alias("spread"))
+    return with_quantiles(one, saved, [], "saved", median="median_saved").select("pairs", "mean_saved", "median_saved", "spread")
 
 
 def experiment_gate(runs: DataFrame) -> DataFrame:
