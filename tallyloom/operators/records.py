@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.columns import utf8_prefix
+
 KEY = ["kind", "origin_platform", "native_id"]
 
 
@@ -113,11 +115,15 @@ def drifted(listing: DataFrame, cursors: DataFrame) -> DataFrame:
     return rows.unionByName(marks.filter("n = 0").select("scope", F.lit(None).cast(listing.schema["id"].dataType).alias("id"), "watermark"))
 
 
-def search_records(records: DataFrame, needle: str, scopes: list[str], limit: int | None = None, offset: int = 0, max_bytes: int | None = None) -> DataFrame:
-    """Records of the scopes that hold the needle in any case, with their first line that isn't blank, by (scope, origin, path)."""
+def search_records(records: DataFrame, needle: str, scopes: list[str], limit: int | None = None, offset: int = 0, max_bytes: int | None = None, prefix_bytes: int | None = None) -> DataFrame:
+    """Records of the scopes that hold the needle in any case, with their first line that isn't blank, by (scope, origin, path).
+
+    With prefix_bytes also the start of the text, `content`, in at most so many bytes of whole characters.
+    """
     hit = (records if max_bytes is None else records.filter(F.octet_length("text") <= max_bytes)).filter(F.col("scope").isin(scopes) & F.contains(F.lower("text"), F.lower(F.lit(needle))))
     first = F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    out = hit.select("scope", "origin", "path", F.trim(first).alias("summary")).orderBy("scope", "origin", "path").offset(offset)
+    content = [] if prefix_bytes is None else [utf8_prefix(F.col("text"), prefix_bytes).alias("content")]
+    out = hit.select("scope", "origin", "path", F.trim(first).alias("summary"), *content).orderBy("scope", "origin", "path").offset(offset)
     return out if limit is None else out.limit(limit)
 
 

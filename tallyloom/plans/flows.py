@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
@@ -11,7 +12,8 @@ from tallyloom.functions.chunker import chunk_files
 from tallyloom.functions.redaction import redact_json, redact_text, sanitize_events
 from tallyloom.functions.scratch import scratch_dir
 from tallyloom.operators.changes import locate_offsets
-from tallyloom.plans.bindings import CALLS, USAGE, calls, files, table, usage
+from tallyloom.operators.telemetry import category_rollup, scan_totals
+from tallyloom.plans.bindings import CALLS, PAGES, QUOTAS, USAGE, calls, files, pages, quotas, table, usage
 from tallyloom.sources import catalog as SC
 from tallyloom.sources import sinks as SK
 from tallyloom.sources import usage as SU
@@ -49,10 +51,11 @@ def f3_redact_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", redact_json(body).alias("r")).select("event_id", "r.value", "r.count")
 
 
-@query("""SELECT event_id, event_type, '[REDACTED]' AS secret, user_id::VARCHAR AS max_tokens FROM events""")
+@query("""SELECT event_id, event_type, CASE user_id % 3 WHEN 0 THEN '[REDACTED]' ELSE props END AS held, user_id::VARCHAR AS max_tokens FROM events""")
 def p13_sanitize_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.create_map(F.lit("api_key"), F.col("props"), F.lit("max_tokens"), F.col("user_id").cast("string")).alias("metadata"))
-    return sanitize_events(e, ["event_type"]).select("event_id", "event_type", F.col("metadata")["api_key"].alias("secret"), F.col("metadata")["max_tokens"].alias("max_tokens"))
+    name = F.when(F.col("user_id") % 3 == 0, "api_key").when(F.col("user_id") % 3 == 1, "api_key_tokens").otherwise("note")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", name.alias("name"), F.create_map(name, F.col("props"), F.lit("max_tokens"), F.col("user_id").cast("string")).alias("metadata"))
+    return sanitize_events(e, ["event_type"]).select("event_id", "event_type", F.col("metadata")[F.col("name")].alias("held"), F.col("metadata")["max_tokens"].alias("max_tokens"))
 
 
 @query("""SELECT source || '/' || lang || '/' || doc_id || '.md' AS path, 'markdown' AS language, 'documentation' AS kind FROM documents WHERE text IS NOT NULL AND text <> '' AND len(list_filter(string_split(text, chr(10)), lambda x: strlen(x) > 2000)) = 0 AND source <> 'vendor'""")
@@ -62,13 +65,16 @@ def p4_p5_eligible_files(spark, sf_dir):
     return ok.select("path", P.language_of(F.col("path")).alias("language"), P.chunk_kind(F.col("path")).alias("kind"))
 
 
-@query("""SELECT page_id, '/' || 'shop' || '/[' || 'id' || ']/[[...' || 'rest' || ']]' AS route, 'id=2:required;rest=3:optional-catch-all' AS segments, '/' || split_part(url, '/', 3) || '/photo' AS target FROM pages""")
+@query(rf"""WITH {PAGES}, p AS (SELECT page_id, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS a, split_part(path, '/', 3) AS b FROM paths), k AS (SELECT * FROM p WHERE host <> '' AND a <> '' AND b <> '')
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN '2=' || a || ':required;3=' || b || ':optional-catch-all' WHEN 1 THEN '3=' || b || ':catch-all' ELSE '1=' || host || ':required' END AS segments,
+CASE page_id % 3 WHEN 0 THEN '/' || host || '/' || a || '/' || b WHEN 1 THEN '/' || host || '/' || b ELSE '/' || b END AS target FROM k""")
 def f10_dynamic_segments(spark, sf_dir):
-    route = F.lit("/shop/[id]/[[...rest]]")
-    host = F.element_at(F.split("url", "/"), 3)
-    seg = F.array_join(F.transform(P.dynamic_segments(F.col("route")), lambda x: F.concat(x["name"], F.lit("="), x["position"].cast("string"), F.lit(":"), x["kind"])), ";")
-    df = table(spark, sf_dir, "pages").select("page_id", route.alias("route"), F.concat_ws("/", F.lit(""), host, F.lit("feed"), F.lit("(..)photo")).alias("r2"))
-    return df.select("page_id", "route", seg.alias("segments"), P.interception(F.col("r2")).alias("target"))
+    part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
+    p = pages(spark, sf_dir).select("page_id", part(1).alias("host"), part(2).alias("a"), part(3).alias("b")).filter("host <> '' AND a <> '' AND b <> ''")
+    form = lambda *forms: F.when(F.col("page_id") % 3 == 0, F.format_string(forms[0], "host", "a", "b")).when(F.col("page_id") % 3 == 1, F.format_string(forms[1], "host", "a", "b")).otherwise(F.format_string(forms[2], "host", "a", "b"))
+    route = form("/%s/[%s]/[[...%s]]", "/%s/%s/[...%s]", "/[%s]/%s/%s")
+    seg = F.array_join(F.transform(P.dynamic_segments(route), lambda x: F.concat(x["position"].cast("string"), F.lit("="), x["name"], F.lit(":"), x["kind"])), ";")
+    return p.select("page_id", seg.alias("segments"), P.interception(form("/%s/%s/(.)%s", "/%s/%s/(..)%s", "/%s/%s/(...)%s")).alias("target"))
 
 
 @query()
@@ -81,24 +87,39 @@ def j11_locate_offsets(spark, sf_dir):
 # ---- sources ----
 
 
-@query("""SELECT 'events' AS kind, count(*) AS n FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT 'samples', count(*) FROM events WHERE event_id % 4 IN (0, 3) UNION ALL SELECT 'quotas', count(*) FROM events WHERE event_id % 4 = 2""")
+@query("""SELECT 'events' AS kind, sum(CASE WHEN turn % 3 = 2 THEN 0 WHEN role = 'user' THEN len(string_split(text, chr(10))) WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n FROM conversations
+UNION ALL SELECT 'samples', count(*) FILTER (turn % 3 <> 2 AND (role = 'user' OR role <> 'assistant')) FROM conversations UNION ALL SELECT 'quotas', sum(CASE WHEN turn % 3 = 2 THEN turn + 1 ELSE 0 END)::BIGINT FROM conversations""")
 def s2_split_records(spark, sf_dir):
-    i = F.col("event_id") % 4
-    body = F.when(i == 0, '{"events":[{"id":1}],"processes":[{"pid":2}]}').when(i == 1, '{"usage":{"input_tokens":3}}').when(i == 2, '{"usageEvents":[{"id":1}],"quotas":[{"metric":"t"}]}').otherwise('{"pid":7,"metric":"x"}')
-    parts = SU.split_records(table(spark, sf_dir, "events").select(F.lit("f").alias("source"), F.parse_json(body).alias("record")))
+    c = table(spark, sf_dir, "conversations")
+    quotas_ = F.to_json(F.struct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn")), lambda i: F.struct(i.alias("limit"))).alias("quotas")))
+    told = F.to_json(F.struct(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("toolName"))).alias("events"), F.array(F.struct(F.col("conv_id").alias("pid"))).alias("processes")))
+    used = F.to_json(F.struct(F.struct(F.length("text").alias("input_tokens")).alias("usage")))
+    body = F.when(F.col("turn") % 3 == 2, quotas_).when(F.col("role") == "user", told).when(F.col("role") == "assistant", used).otherwise(F.to_json(F.struct(F.col("conv_id").alias("pid"))))
+    parts = SU.split_records(c.select(F.lit("f").alias("source"), F.parse_json(body).alias("record")))
     out = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("""SELECT user_id::VARCHAR AS file, event_id AS line_no, CASE WHEN user_id % 2 = 0 THEN 'turns' ELSE 'results' END AS dialect, CASE WHEN user_id % 2 = 0 THEN CASE WHEN event_type = 'click' THEN 'item.completed' ELSE 'turn.completed' END ELSE 'result' END AS type,
-CASE WHEN user_id % 2 = 0 AND event_type <> 'click' THEN regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT END AS input_tokens, CASE WHEN user_id % 2 = 1 THEN value END AS cost_usd FROM events WHERE event_type <> 'view'""")
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no FROM events),
+d AS (SELECT user_id, CASE WHEN bool_or(user_id % 2 = 0 AND event_type NOT IN ('view', 'click')) THEN 'turns' WHEN bool_or(user_id % 2 = 1 AND event_type <> 'view') THEN 'results' END AS dialect FROM l WHERE line_no <= 20 GROUP BY user_id)
+SELECT user_id::VARCHAR AS file, line_no::BIGINT AS line_no, dialect, CASE WHEN user_id % 2 = 0 THEN CASE WHEN event_type = 'click' THEN 'item.completed' ELSE 'turn.completed' END ELSE 'result' END AS type,
+CASE WHEN user_id % 2 = 0 AND event_type <> 'click' THEN regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT END AS input_tokens, CASE WHEN user_id % 2 = 1 THEN value END AS cost_usd FROM l JOIN d USING (user_id) WHERE dialect IS NOT NULL AND event_type <> 'view'""")
 def s3_import_transcripts(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("line_no", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long"))
     kind = F.when(F.col("event_type") == "view", "noise").when(F.col("user_id") % 2 == 1, "result").when(F.col("event_type") == "click", "item.completed").otherwise("turn.completed")
     k = F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1)
     body = F.concat(F.lit('{"type":"'), kind, F.lit('","usage":{"input_tokens":'), k, F.lit(',"output_tokens":1},"total_cost_usd":'), F.col("value").cast("string"), F.lit("}"))
-    lines = e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), F.parse_json(body).alias("record"))
-    return SU.import_transcripts(lines, sniff=1 << 30).select("file", "line_no", "dialect", "type", "input_tokens", "cost_usd")
+    lines = e.select(F.col("user_id").cast("string").alias("file"), "line_no", F.parse_json(body).alias("record"))
+    return SU.import_transcripts(lines).select("file", "line_no", "dialect", "type", "input_tokens", "cost_usd")
+
+
+@query("""SELECT 'categories' AS section, event_type AS name, count(*) AS calls FROM events GROUP BY event_type UNION ALL SELECT 'totals', 'all', count(*) FROM events""")
+def s8_write_report(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/generations/{uuid.uuid4().hex}"
+    u = usage(spark, sf_dir)
+    SK.write_report({"categories": category_rollup(u), "totals": scan_totals(u)}, path)
+    a = spark.read.parquet(f"{path}/categories").select(F.lit("categories").alias("section"), F.col("category").alias("name"), "calls")
+    return a.unionByName(spark.read.parquet(f"{path}/totals").select(F.lit("totals").alias("section"), F.lit("all").alias("name"), "calls"))
 
 
 @query("""SELECT 'm' || (o_custkey % 7) AS model_id, o_orderkey AS occurred_at, o_custkey AS input_tokens, o_custkey + 10 + 5 AS total_tokens FROM orders""")
@@ -169,7 +190,34 @@ def r2_latest_by_id(spark, sf_dir):
     top = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
     e = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
     e.writeStream.foreachBatch(ST.latest_by_id("id", "seq", top)).option("checkpointLocation", f"{top}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{top}/v=0")
+    return ST.read_state(spark, top)
+
+
+_ACTION = "CASE WHEN event_type IN ('signup', 'purchase') THEN 'register' WHEN event_type = 'error' THEN 'end' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS id, {_ACTION} AS action, event_id AS seq FROM events WHERE {_ACTION} IS NOT NULL),
+s AS (SELECT id, max(seq) FILTER (action = 'register') AS r, max(seq) FILTER (action = 'end') AS x FROM e GROUP BY id)
+SELECT id, r * 10 AS started_at, CASE WHEN x > r THEN x * 10 END AS ended_at, CASE WHEN x > r THEN 'ended' ELSE 'active' END AS state FROM s WHERE r IS NOT NULL""")
+def r2_sessions(spark, sf_dir):
+    top = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.expr(_ACTION).alias("action"), F.col("event_id").alias("seq"), (F.col("event_id") * 10).alias("at")).filter("action IS NOT NULL")
+    e.writeStream.foreachBatch(ST.latest_by_id(["id", "action"], "seq", top)).option("checkpointLocation", f"{top}-state").trigger(availableNow=True).start().awaitTermination()
+    return ST.sessions_of(ST.read_state(spark, top))
+
+
+@query(f"""WITH {USAGE}, {QUOTAS}, n AS (SELECT * FROM usage ORDER BY seq DESC LIMIT 10000), late AS (SELECT * FROM n ORDER BY seq DESC LIMIT 200)
+SELECT 'summary' AS section, provider_id AS subject, sum(total_tokens)::BIGINT AS tokens FROM (SELECT provider_id, total_tokens FROM n UNION ALL SELECT DISTINCT provider_id, 0 FROM quotas) GROUP BY provider_id
+UNION ALL SELECT 'alerts', 'quota:' || id, NULL FROM quotas WHERE utilization_percent >= 80 UNION ALL SELECT 'alerts', 'context:' || id, NULL FROM late WHERE context_utilization_percent >= 80 UNION ALL SELECT 'alerts', 'failure:' || id, NULL FROM late WHERE status = 'failed'
+UNION ALL (SELECT 'recent', id, total_tokens FROM n ORDER BY seq DESC LIMIT 100)""")
+def r3_snapshot_job(spark, sf_dir):
+    top = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
+    s = usage(spark, sf_dir, _events(spark, sf_dir))
+    s.writeStream.foreachBatch(ST.snapshot_sink(quotas(spark, sf_dir), top, keep=10_000)).option("checkpointLocation", f"{top}-state").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: spark.read.parquet(f"{top}/sequence=0/{name}")
+    out = read("summary").select(F.lit("summary").alias("section"), F.col("provider_id").alias("subject"), F.col("total_tokens").alias("tokens"))
+    out = out.unionByName(read("alerts").select(F.lit("alerts").alias("section"), F.concat_ws(":", "kind", "subject").alias("subject"), F.lit(None).cast("long").alias("tokens")))
+    return out.unionByName(read("recent").select(F.lit("recent").alias("section"), F.col("id").alias("subject"), F.col("total_tokens").alias("tokens")))
 
 
 @query(f"""WITH {CALLS} SELECT backend, count(*) AS calls, count(*) FILTER (NOT ok) AS errors, max("at") AS last_at FROM calls WHERE operation = 'tools/call' GROUP BY backend""")

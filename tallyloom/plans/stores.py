@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
+from tallyloom.functions.identity import identity_tokens
 from tallyloom.operators import changes as X
 from tallyloom.operators import records as R
 from tallyloom.operators import search as S
@@ -232,6 +233,12 @@ def t8_search_records(spark, sf_dir):
     return R.search_records(t, "THE", ["user", "assistant"], 50, 10, max_bytes=1 << 20).select("scope", "path", "summary")
 
 
+@query("""SELECT lang AS scope, doc_id AS path, sha256(CASE WHEN strlen(text) <= 16384 THEN text ELSE text[1:list_max(list_filter(range(4096, 16385), lambda k: strlen(text[1:k]) <= 16384))] END) AS content_sha256 FROM documents WHERE lang IN ('de', 'en', 'es') AND contains(lower(text), 'en')""")
+def t8_record_prefixes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("scope"), F.col("source").alias("origin"), F.col("doc_id").alias("path"), "text")
+    return R.search_records(d, "EN", ["de", "en", "es"], prefix_bytes=16 << 10).select("scope", "path", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS original_id, substr(sha256(o_orderkey || '|' || o_orderpriority), 1, 24) AS id, o_orderstatus AS state FROM orders WHERE o_orderkey % 4 <> 0""")
 def s10_import_records(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("payload_hash"), F.col("o_orderstatus").alias("state"), (F.col("o_orderkey") % 4 == 0).alias("known"))
@@ -277,6 +284,11 @@ def t1_search(spark, sf_dir):
     return S.search(search_docs(spark, sf_dir), "the ering").withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["t1_search"].replace("SELECT fact_key, kind, path, round", "SELECT fact_key, path, count(*) OVER () > 30 AS has_more FROM (SELECT fact_key, path, round") + ") ORDER BY score DESC, fact_key LIMIT 20 OFFSET 10")
+def t1_search_page(spark, sf_dir):
+    return S.search(search_docs(spark, sf_dir), "the ering", limit=20, offset=10).select("fact_key", "path", "has_more")
+
+
 @query(f"""WITH {_SEARCH}, c AS (SELECT *, (len(lower(body)) - len(replace(lower(body), 'ering', ''))) / 5 + (len(path) - len(replace(path, 'ering', ''))) / 5 + (len(title) - len(replace(title, 'ering', ''))) / 5 AS a, (len(lower(body)) - len(replace(lower(body), 'src1', ''))) / 4 + (len(path) - len(replace(path, 'src1', ''))) / 4 + (len(title) - len(replace(title, 'src1', ''))) / 4 AS b FROM docs)
 SELECT fact_key, kind, path, least(a + b, 8) * CASE kind WHEN 'chunk' THEN 1.0 ELSE 1.6 END AS score FROM c WHERE a > 0 AND b > 0""")
 def t3_linear_search(spark, sf_dir):
@@ -290,6 +302,18 @@ def t4_search_symbols(spark, sf_dir):
     return S.search_symbols(p, "red econ").select("byte_offset", "name", "hits")
 
 
+@query(r"""WITH t AS (SELECT page_id, unnest(list_distinct(['path:' || lower(url), 'value:' || lower(split_part(url, '/', 3)), 'value:' || lower(url), CASE WHEN page_id % 2 = 0 THEN 'value:page ' || page_id END])) AS token FROM pages)
+SELECT page_id, string_agg(token, ' ' ORDER BY token) AS tokens FROM t WHERE token IS NOT NULL GROUP BY page_id""")
+def f14_identity_tokens(spark, sf_dir):
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    name = F.format_string(" Page %d ", "page_id")
+    # a list of objects below a field that names nothing, a list of strings below one that does
+    nested = F.array(F.struct(host.alias("Owner"), F.length("html").alias("size")), F.struct(F.upper(host).alias("Owner"), F.col("page_id").cast("int").alias("size")))
+    body = F.to_json(F.struct(nested.alias("parts"), F.array("url", F.lit(" ")).alias("page_uri"), F.col("url").alias("note"), F.when(F.col("page_id") % 2 == 0, name).alias("record")))
+    p = table(spark, sf_dir, "pages").select("page_id", identity_tokens(F.col("url"), body).alias("t"))
+    return p.select("page_id", F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
 @query(f"""WITH {PAGES} SELECT page_id, greatest(ceil(strlen(path) / 4.0), 1)::BIGINT AS tokens, substr(path, 1, 10) AS short, path = 'th' OR starts_with(path, 'blog.') AS blog, lower(trim(regexp_replace(translate(path, '_-', '  '), '\\s+', ' ', 'g'))) AS identity FROM paths""")
 def f12_f15_page_functions(spark, sf_dir):
     p = F.col("path")

@@ -81,12 +81,52 @@ def test_duplicate_ids_count_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
 
 
+def _feed(stream, sink, tmp_path):
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_latest_by_id_over_batches(spark, tmp_path):
-    s = _files(spark, tmp_path, [(i % 7, i) for i in range(50)], "id int, seq int", parts=4)
     out = f"file://{tmp_path}/latest"
-    s.writeStream.foreachBatch(ST.latest_by_id("id", "seq", out)).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    last = max(int(d[2:]) for d in os.listdir(tmp_path / "latest") if d.startswith("v="))
-    assert {(r.id, r.seq) for r in spark.read.parquet(f"{out}/v={last}").collect()} == {(i, max(x for x in range(50) if x % 7 == i)) for i in range(7)}
+    assert ST.read_state(spark, out) is None
+    _feed(_files(spark, tmp_path, [(i % 7, i) for i in range(50)], "id int, seq int", parts=4), ST.latest_by_id("id", "seq", out, buckets=3), tmp_path)
+    assert {(r.id, r.seq) for r in ST.read_state(spark, out).collect()} == {(i, max(x for x in range(50) if x % 7 == i)) for i in range(7)}
+
+
+def test_a_batch_rewrites_only_its_buckets_and_can_run_again(spark, tmp_path):
+    out = f"file://{tmp_path}/latest"
+    sink = ST.latest_by_id("id", "seq", out, buckets=50)
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, seq int")
+    sink(rows(*[(i, i) for i in range(200)]), 0)
+    for _ in range(2):
+        sink(rows((5, 1000), (6, 2)), 1)
+    got = {r.id: r.seq for r in ST.read_state(spark, out).collect()}
+    assert got == {i: i for i in range(200)} | {5: 1000}
+    assert spark.read.parquet(out).filter("version_ = 1").select("bucket_").distinct().count() <= 2
+
+
+def test_sessions_end_and_start_again(spark, tmp_path):
+    rows = [("a", "register", 1, 10), ("a", "end", 2, 20), ("b", "register", 3, 30), ("c", "end", 4, 40), ("d", "register", 5, 50), ("d", "end", 6, 60), ("d", "register", 7, 70), ("e", "end", 8, 80), ("e", "register", 9, 90)]
+    out = f"file://{tmp_path}/sessions"
+    sink = ST.latest_by_id(["id", "action"], "seq", out)
+    for n, r in enumerate(rows):
+        sink(spark.createDataFrame([r], "id string, action string, seq long, at long"), n)
+    got = {r.id: (r.started_at, r.ended_at, r.state) for r in ST.sessions_of(ST.read_state(spark, out)).collect()}
+    assert got == {"a": (10, 20, "ended"), "b": (30, None, "active"), "d": (70, None, "active"), "e": (90, None, "active")}
+
+
+def test_snapshots_show_the_newest_events_of_all_batches(spark, tmp_path):
+    from tallyloom.plans.bindings import quotas, table, usage
+
+    sf = "/root/testdata/sf0.001"
+    u = usage(spark, sf, table(spark, sf, "events").filter("event_id < 400"))
+    sink = ST.snapshot_sink(quotas(spark, sf), f"file://{tmp_path}/snap", keep=150, recent=20)
+    for n in range(4):
+        for _ in range(1 + (n == 2)):
+            sink(u.filter((F.col("seq") >= 100 * n) & (F.col("seq") < 100 * n + 100)), n)
+    read = lambda name, n: spark.read.parquet(f"file://{tmp_path}/snap/sequence={n}/{name}")
+    assert {r.seq for r in read("recent", 3).collect()} == set(range(380, 400))
+    assert [read("summary", n).agg(F.sum("requests")).first()[0] for n in (0, 3)] == [u.filter(c).agg(F.sum(F.coalesce(F.col("metadata")["request_count"].cast("int"), F.lit(1)))).first()[0] for c in ("seq < 100", "seq >= 250")]
+    assert read("alerts", 3).filter("kind = 'failure'").count() == u.filter("seq >= 250 AND status = 'failed'").count()
 
 
 def test_upsert_sink_over_batches(spark, tmp_path):
@@ -94,9 +134,14 @@ def test_upsert_sink_over_batches(spark, tmp_path):
     rows = [(str(i), "k", "p", f"n{i % 3}", "w", None, "s", "low", "h", None, 1, None, i) for i in range(9)]
     s = _files(spark, tmp_path, rows, schema)
     out = f"file://{tmp_path}/store"
-    s.writeStream.foreachBatch(ST.upsert_sink(out)).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    last = max(int(d[2:]) for d in os.listdir(tmp_path / "store") if d.startswith("v="))
-    assert sorted((r.native_id, r.revision) for r in spark.read.parquet(f"{out}/v={last}").collect()) == [("n0", 1), ("n1", 1), ("n2", 1)]
+    _feed(s, ST.upsert_sink(out), tmp_path)
+    assert sorted((r.native_id, r.revision) for r in ST.read_state(spark, out).collect()) == [("n0", 1), ("n1", 1), ("n2", 1)]
+
+
+def test_reports_are_a_folder_a_section(spark, tmp_path):
+    SK.write_report({"a": spark.range(3), "b": spark.range(5)}, f"file://{tmp_path}/r")
+    SK.write_report({"a": spark.range(2)}, f"file://{tmp_path}/r")
+    assert [spark.read.parquet(f"file://{tmp_path}/r/{n}").count() for n in "ab"] == [2, 5]
 
 
 def test_entry_and_names(spark):
