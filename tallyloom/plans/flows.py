@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.functions.chunker import chunk_files
+from tallyloom.functions.chunker import MAX_BYTES, MAX_LINES, chunk_files
 from tallyloom.functions.redaction import redact_json, redact_text, sanitize_events
 from tallyloom.functions.scratch import scratch_dir
 from tallyloom.operators.changes import locate_offsets
@@ -33,7 +33,36 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+#: Documents as files, and a line with its end, by the line ends of chunk_files.
+_FILES = "SELECT concat_ws('/', source, lang, doc_id || '.md') AS path, text, sha256(text) AS digest FROM documents WHERE text IS NOT NULL"
+_ENDS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
+
+
+def _cut(s: str) -> str:
+    """SQL for the end of the piece of a long line that begins at byte `s`: a code point is not cut."""
+    byte = lambda back: f"substr(h, 2 * ({s} + {MAX_BYTES} - {back}) + 1, 1) NOT IN ('8', '9', 'A', 'B')"
+    return f"CASE WHEN {s} + {MAX_BYTES} >= n THEN n ELSE {s} + {MAX_BYTES} - CASE WHEN {byte(0)} THEN 0 WHEN {byte(1)} THEN 1 WHEN {byte(2)} THEN 2 ELSE 3 END END"
+
+
+_CHUNKS = f"""f AS ({_FILES}),
+ls AS (SELECT path, digest, CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '[^{_ENDS}]*(?:\\r\\n|[{_ENDS}])|[^{_ENDS}]+') END AS ls FROM f),
+l AS (SELECT path, digest, i, hex(encode(ls[i])) AS h FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM ls)),
+s AS MATERIALIZED (SELECT path, digest, i, h, len(h) // 2 AS n, (sum(len(h) // 2) OVER (PARTITION BY path ORDER BY i) - len(h) // 2)::BIGINT AS before FROM l),
+c AS (SELECT path, digest, i, before, n, h, 0::BIGINT AS s, {_cut("0")} AS e FROM s WHERE n > {MAX_BYTES}
+  UNION ALL SELECT path, digest, i, before, n, h, e, {_cut("e")} FROM c WHERE e < n),
+short AS MATERIALIZED (SELECT path, digest, i, n, before FROM s),
+g AS (SELECT path, digest, i, before, n, i AS first, CASE WHEN n > {MAX_BYTES} THEN 0 ELSE n END AS size, CASE WHEN n > {MAX_BYTES} THEN 0 ELSE 1 END AS held FROM short WHERE i = 1
+  UNION ALL SELECT m.path, m.digest, m.i, m.before, m.n, CASE WHEN more THEN first ELSE m.i END, CASE WHEN long THEN 0 WHEN more THEN size + m.n ELSE m.n END, CASE WHEN long THEN 0 WHEN more THEN held + 1 ELSE 1 END
+  FROM (SELECT g.first, g.size, g.held, m.*, m.n > {MAX_BYTES} AS long, m.n <= {MAX_BYTES} AND held > 0 AND held < {MAX_LINES} AND size + m.n <= {MAX_BYTES} AS more FROM g JOIN short m ON m.path = g.path AND m.i = g.i + 1) m),
+r AS (SELECT path, digest, min(before) AS byte_start, max(before + n) AS byte_end, first AS start_line, max(i) AS end_line FROM g WHERE held > 0 GROUP BY path, digest, first
+  UNION ALL SELECT path, digest, before + s, before + e, i, i FROM c)"""
+
+
+@query(f"""
+WITH RECURSIVE {_CHUNKS}
+SELECT path, digest, byte_start::BIGINT AS byte_start, byte_end::BIGINT AS byte_end, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line,
+  sha256(concat_ws(chr(0), 'w', path, digest, byte_start, byte_end)) AS chunk_id FROM r
+""")
 def u1_chunk_files(spark, sf_dir):
     return chunk_files(files(spark, sf_dir)).drop("text")
 
@@ -77,7 +106,13 @@ def f10_dynamic_segments(spark, sf_dir):
     return p.select("page_id", seg.alias("segments"), P.interception(form("/%s/%s/(.)%s", "/%s/%s/(..)%s", "/%s/%s/(...)%s")).alias("target"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_CHUNKS},
+o AS (SELECT path, (octet_length(encode(text)) // 2)::BIGINT AS byte_offset, hex(encode(text)) AS h FROM f),
+b AS (SELECT path, byte_offset, start_line, regexp_extract_all(substr(h, 2 * byte_start + 1, 2 * (byte_offset - byte_start)), '..') AS bs
+  FROM o JOIN r USING (path) WHERE byte_offset >= byte_start AND byte_offset < greatest(byte_end, byte_start + 1))
+SELECT path, byte_offset, (start_line + len(list_filter(bs, lambda x: x = '0A')))::INTEGER AS line, coalesce(nullif(list_position(list_reverse(bs), '0A'), 0), len(bs) + 1)::INTEGER AS "column" FROM b
+""")
 def j11_locate_offsets(spark, sf_dir):
     f = files(spark, sf_dir)
     off = f.select("path", F.floor(F.octet_length("text") / 2).cast("long").alias("byte_offset"))

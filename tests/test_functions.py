@@ -148,3 +148,16 @@ def test_columns(spark):
     assert one(spark, C.redact_command(F.array(F.lit("git"), F.lit("push"), F.lit("x")))) == "git [+2 args]"
     assert one(spark, C.normalize_identity(F.lit("  Code_Owner--Name "))) == "code owner name"
     assert one(spark, C.excerpt(F.lit("a\nb\nhit\nd\ne"), F.lit("hit"), 1)) == "b\nhit\nd"
+
+
+def test_sql_of_chunks_is_the_function():
+    duckdb = pytest.importorskip("duckdb")
+
+    from tallyloom.plans import catalogue
+
+    texts = ["", "a", "a\n", "a\r\nb\rc\u2028d\x0be", "\n" * 400, "é" * 9000 + "\nz", "x" + "日本" * 6000, "x" * 8192 + "\n" + "y", "b\n" + "ü" * 4096 + "\n" + "c\n" * 130, ("w" * 100 + "\n") * 300, "k" * 16384, "\U0001f600" * 5000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 's')", list(enumerate(texts)))
+    got = con.execute(f"SELECT path, byte_start, byte_end, start_line, end_line FROM ({catalogue.ORACLES['u1_chunk_files']})").fetchall()
+    assert sorted(got) == sorted((f"s/en/{i}.md", *c[:4]) for i, t in enumerate(texts) for c in split_file(t))
