@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, langid, linededup, lm, mixing, neardup, neighbours, pii, repeats, sharding, turntrie
+from tallyloom.llm import decontaminate, langid, linededup, lm, mixing, neardup, neighbours, pii, repeats, sharding, toxicity, turntrie
 from tallyloom.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op12_conversation_trie(spark, sf_dir):
     return turntrie.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup, op12_conversation_trie)}
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup, op12_conversation_trie, op13_toxicity)}
 
 ORACLES = {
     "op2_line_dedup": linededup.oracle_sql(),
