@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, langid, linededup, lm, mixing, neardup, neighbours, pii, repeats, sharding, toxicity, turntrie
+from tallyloom.llm import decontaminate, langid, linededup, lm, mixing, neardup, neighbours, phrases, pii, repeats, sharding, toxicity, turntrie
 from tallyloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark, sf_dir):
     return turntrie.report(table(spark, sf_dir, "conversations"))
 
@@ -54,7 +58,7 @@ def op13_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup, op12_conversation_trie, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_nearest_neighbours, op4_source_mix, op5_language_id, op6_minhash_neardup, op7_virtual_slots, op8_context_mixing, op9_decontaminate, op10_suffix_dedup, op11_phrase_mining, op12_conversation_trie, op13_toxicity)}
 
 ORACLES = {
     "op2_line_dedup": linededup.oracle_sql(),
@@ -78,5 +82,6 @@ SELECT norm.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
        sha256(coalesce(items, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
 FROM norm LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
+    "op11_phrase_mining": phrases.oracle_sql(),
     "op12_conversation_trie": turntrie.oracle_sql(),
 }
