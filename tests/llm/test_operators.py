@@ -387,8 +387,24 @@ def test_a_group_of_a_third_of_all_rows_is_dealt_out_and_others_stay_whole(spark
         if r.text_crc32 != zlib.crc32(b"the same text"):
             small.setdefault(r.text_crc32, set()).add(r.shard)
     assert set(map(len, small.values())) == {1}
-    many = sharding.place(spark.createDataFrame(rows[:2000] + [(i, "few bytes", "en", "a", 1) for i in range(3000, 3010)], SCHEMA), group_rows=8).collect()
-    assert len({r.virtual_slot for r in many if r.doc_id >= 3000}) > 1
+
+
+def test_a_group_that_fits_a_shard_is_placed_whole(spark):
+    """A tenth of all bytes, and a third of all rows with few bytes; and the two long copies of the test tables."""
+    rows = [(i, f"text {i // 2} " * 9, "en", "a", 1) for i in range(2000)] + [(5000 + i, "a tenth of all bytes", "en", "a", 1) for i in range(800)] + [(None, None, "en", "a", 1)] * 1400
+    got = sharding.place(spark.createDataFrame(rows, SCHEMA)).collect()
+    by, size, places = {}, Counter(), {}
+    for r in got:
+        by.setdefault(r.text_crc32, set()).add(r.shard)
+        size[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert set(map(len, by.values())) == {1} and max(size.values()) - min(size.values()) <= 250
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    got = sharding.place(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert set(map(len, by.values())) == {1}
 
 
 def test_rebalancing_moves_slots_only_into_a_new_shard(spark, tmp_path):
