@@ -142,13 +142,17 @@ def import_records(store: DataFrame, incoming: DataFrame) -> DataFrame:
 CLAIM_STEPS = {"proposed": ("validated", "rejected", "tombstoned"), "validated": ("active", "rejected", "tombstoned"), "active": ("superseded", "tombstoned")}
 
 
+def next_state(state: str, step: str) -> tuple[str, bool]:
+    """The state after a step, and whether the step was allowed."""
+    ok = step in CLAIM_STEPS.get(state, ())
+    return (step if ok else state), ok
+
+
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     state, refused = "proposed", 0
     for step in rows.sort_values("seq")["to_state"]:
-        if step in CLAIM_STEPS.get(state, ()):
-            state = step
-        else:
-            refused += 1
+        state, ok = next_state(state, step)
+        refused += not ok
     return pd.DataFrame({"claim_id": [rows["claim_id"].iloc[0]], "state": [state], "refused": [refused]})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import normalize_package
 from tallyloom.functions.paths import ancestors, normalize_path
+from tallyloom.functions.scratch import materialize
 
 # Endings that a module's path may lack.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".json", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
@@ -65,18 +66,35 @@ def resolve_specifiers(dependencies: DataFrame, catalog: DataFrame) -> DataFrame
     return out.select(*dependencies.columns, F.when(ref, F.col("version")).otherwise(F.col("specifier")).alias("resolved"))
 
 
-def resolve_as_of(references: DataFrame, declarations: DataFrame) -> DataFrame:
+def resolve_as_of(references: DataFrame, declarations: DataFrame, few: int = 256) -> DataFrame:
     """Identities a reference at a statement sees: declared before it and neither dropped nor renamed since.
 
-    Declarations (name, identity, statement, operation add or remove) become intervals of validity by `lead`; references
-    are joined on the name and the interval. No match is unresolved, one resolved, several ambiguous.
+    Declarations (name, identity, statement, operation add or remove) become intervals of validity by `lead`. A name with `few`
+    intervals at most is joined by the name. Intervals of other names are cut into the blocks of a binary segment tree over
+    statements, two a level at most, and references meet them by (name, level, block): a point lies in one block of an interval
+    that holds it and in none of another, so only pairs that are seen are made, however often a name is declared.
+    No match is unresolved, one resolved, several ambiguous.
     """
     nxt = F.lead("statement").over(W.partitionBy("name", "identity").orderBy("statement"))
-    spans = declarations.withColumn("until", nxt).filter(F.col("operation") == "add").select("name", "identity", F.col("statement").alias("since"), "until")
-    spans = spans.withColumnRenamed("name", "n2")
-    seen = (F.col("name") == F.col("n2")) & (F.col("since") < F.col("statement")) & (F.col("until").isNull() | (F.col("until") >= F.col("statement")))
-    j = references.join(spans, seen, "left")  # the interval is judged in the join: only rows that are seen leave it
-    out = j.groupBy("ref_id", "name", "statement").agg(F.array_sort(F.collect_set("identity")).alias("identities"))
+    spans = declarations.withColumn("until", nxt).filter(F.col("operation") == "add").select(F.col("name").alias("n2"), "identity", F.col("statement").cast("long").alias("since"), F.col("until").cast("long").alias("until"))
+    refs = references.select("ref_id", "name", "statement")
+    end = F.lit(refs.agg(F.max("statement")).first()[0]).cast("long")
+    # the interval's first statement, and the one after its last
+    spans = spans.withColumns({"lo": F.col("since") + 1, "hi": F.coalesce(F.least("until", end), end) + 1}).filter("lo < hi")
+    often = materialize(spans.groupBy("n2").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("long")).filter(F.col("n") > few).select("n2", "long"))
+    longest = often.agg(F.max("long")).first()[0]
+    if longest is None:
+        cut, asked = spans.withColumns({"level": F.lit(-1), "block": F.lit(0).cast("long")}), refs.withColumns({"level": F.lit(-1), "block": F.lit(0).cast("long")})
+    else:
+        hot, top = often.select("n2", F.lit(True).alias("hot")), longest.bit_length()
+        first, past = "shiftright(lo + shiftleft(1L, k) - 1, k)", "shiftright(hi, k)"
+        blocks = f"flatten(transform(sequence(0, {top}), k -> filter(array(IF({first} < {past} AND {first} % 2 != 0, struct(k AS level, {first} AS block), NULL), IF({first} < {past} AND {past} % 2 != 0, struct(k AS level, {past} - 1 AS block), NULL)), x -> x IS NOT NULL)))"
+        cut = spans.join(hot, "n2", "left").withColumn("x", F.explode(F.expr(f"IF(hot, {blocks}, array(struct(-1 AS level, 0L AS block)))"))).select("n2", "identity", "lo", "hi", "x.level", "x.block")
+        asked = refs.join(hot.withColumnRenamed("n2", "name"), "name", "left").withColumn("x", F.explode(F.expr(f"IF(hot, transform(sequence(0, {top}), k -> struct(k AS level, shiftright(cast(statement AS long), k) AS block)), array(struct(-1 AS level, 0L AS block)))"))).select("ref_id", "name", "statement", "x.level", "x.block")
+    met = (F.col("name") == F.col("n2")) & (asked["level"] == cut["level"]) & (asked["block"] == cut["block"]) & (F.col("lo") <= F.col("statement")) & (F.col("statement") < F.col("hi"))
+    seen = asked.join(cut, met).select("ref_id", "name", "statement", "identity")
+    every = seen.unionByName(refs.withColumn("identity", F.lit(None).cast(seen.schema["identity"].dataType)))
+    out = every.groupBy("ref_id", "name", "statement").agg(F.array_sort(F.collect_set("identity")).alias("identities"))
     n = F.size("identities")
     return out.withColumn("state", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"))
 

@@ -175,6 +175,34 @@ def test_as_of_resolution(spark):
     assert [(x.ref_id, x.state) for x in N.resolve_as_of(r, d).orderBy("ref_id").collect()] == [(1, "unresolved"), (2, "resolved"), (3, "unresolved"), (4, "resolved"), (5, "ambiguous")]
 
 
+def test_as_of_by_blocks_equals_all_pairs(spark):
+    """Hot and rare names, statements below zero, open and empty intervals."""
+    import random
+
+    rng = random.Random(8)
+    d = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 30), s, rng.choice(["add", "add", "remove"])) for s in rng.sample(range(-300, 900), 500)]
+    r = [(i, rng.choice(["a", "b", "z", None]), rng.randint(-400, 1000)) for i in range(300)]
+    want = {}
+    for i, name, at in r:
+        own = {}
+        for n, who, s, op in sorted(d, key=lambda x: x[2]):
+            if n is not None and n == name and s < at:
+                own[who] = op
+        want[i] = sorted(k for k, op in own.items() if op == "add")
+    dd, rr = spark.createDataFrame(d, "name string, identity int, statement int, operation string"), spark.createDataFrame(r, "ref_id int, name string, statement int")
+    for few in (0, 60, 10000):
+        assert {x.ref_id: x.identities for x in N.resolve_as_of(rr, dd, few).collect()} == want
+    assert N.resolve_as_of(rr.limit(0), dd).collect() == [] and N.resolve_as_of(rr, dd.limit(0)).filter("state <> 'unresolved'").count() == 0
+
+
+def test_as_of_of_one_hot_name_makes_no_pairs(spark):
+    """10^5 references to a name with 10^5 declarations, each of which ends when the next begins."""
+    n = 100_000
+    d = spark.range(2 * n).select(F.lit("hot").alias("name"), F.floor(F.col("id") / 2).alias("identity"), (F.col("id") + F.col("id") % 2).alias("statement"), F.when(F.col("id") % 2 == 0, "add").otherwise("remove").alias("operation"))
+    r = spark.range(n).select(F.col("id").alias("ref_id"), F.lit("hot").alias("name"), (2 * F.col("id") + 1).alias("statement"))
+    assert N.resolve_as_of(r, d).filter((F.col("state") == "resolved") & (F.col("identities")[0] == F.col("ref_id"))).count() == n
+
+
 def test_module_resolution_takes_the_first_that_exists(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/a/index.ts",), ("lib/pkg/mod.py",), ("packages/ui/button.tsx",)], "path string")
     i = spark.createDataFrame([("src/x", "../a"), ("src", "./none"), ("any", "@ui/kit/button"), ("any", "lib.pkg.mod"), ("any", "react")], "directory string, specifier string")
