@@ -113,6 +113,11 @@ def plain_glob_regex(pattern: str) -> str:
     return (r"^(?:.*/)?" if "/" not in p else "^") + body + "$"
 
 
+def glob_root(pattern: Column) -> Column:
+    """The folder that all of a pattern's matches lie below: its first segments without signs, but for the last segment; empty if there is none."""
+    return F.regexp_replace(F.regexp_extract(F.trim(pattern), r"^(?:\./)?/*((?:[^*?\[\]{}\\/]+/)+)[^/]", 1), "/$", "")
+
+
 # Leaves of a route's file and pages with a meaning of their own.
 ROUTE_LEAVES = ("page", "route", "layout", "template", "loading", "error", "not-found", "default")
 RESERVED_PAGES = ("_app", "_document", "_error", "404", "500")

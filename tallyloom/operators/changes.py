@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,18 +178,52 @@ def snapshot_match(artifacts: DataFrame, snapshot: dict[str, str]) -> DataFrame:
     return artifacts.withColumn("matches", F.when(declares, ~differs))
 
 
-def text_consumers(files: DataFrame, symbols: DataFrame, sources: DataFrame, max_bytes: int | None = None, symbols_most: int | None = None, most: int | None = None) -> DataFrame:
+#: Symbols in one automaton; a larger table is cut by hash, with a pass over the texts for each part.
+AUTOMATON = 200_000
+
+
+def _finder(symbols: list[str]):
+    """Runs one automaton of all symbols over each text once."""
+
+    def find(batches):
+        machine = ahocorasick.Automaton()
+        for s in symbols:
+            machine.add_word(s, s)
+        machine.make_automaton()
+        for batch in batches:
+            paths, names, lines = [], [], []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                first: dict[str, int] = {}
+                for end, s in machine.iter(text):
+                    first.setdefault(s, end - len(s) + 1)
+                at = line = 0
+                for s, start in sorted(first.items(), key=lambda x: x[1]):
+                    line += text.count("\n", at, start)
+                    at = start
+                    paths.append(path)
+                    names.append(s)
+                    lines.append(line + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(lines, pa.int32())], ["path", "symbol", "line"])
+
+    return find
+
+
+def text_consumers(files: DataFrame, symbols: DataFrame, sources: DataFrame, max_bytes: int | None = None, symbols_most: int | None = None, most: int | None = None, part: int = AUTOMATON) -> DataFrame:
     """Other files that hold a symbol of three letters or more, with the symbol's first line. The caps are off unless given.
 
-    The selected symbols are a few words that a user names; they are broadcast.
+    All symbols are found in one pass over each text; at most about `part` of them are in memory at a time.
     """
-    small = (files if max_bytes is None else files.filter(F.octet_length("text") <= max_bytes)).join(sources.select("path"), "path", "left_anti")
+    small = (files if max_bytes is None else files.filter(F.octet_length("text") <= max_bytes)).filter(F.col("text").isNotNull()).join(sources.select("path"), "path", "left_anti")
     names = symbols.filter(F.length("symbol") >= 3).select("symbol").distinct()
-    names = F.broadcast(names if symbols_most is None else names.orderBy("symbol").limit(symbols_most))
-    hit = small.join(names, F.contains("text", F.col("symbol")))
-    before = F.substring("text", F.lit(1), F.instr("text", F.col("symbol")) - 1)
-    out = hit.select("path", "symbol", (F.length(before) - F.length(F.translate(before, "\n", "")) + 1).alias("line"))
-    return out if most is None else out.orderBy("path", "symbol").limit(most)
+    names = names if symbols_most is None else names.orderBy("symbol").limit(symbols_most)
+    n = names.count()
+    parts = -(-n // part) or 1
+    found = None
+    for k in range(parts):
+        own = names if parts == 1 else names.filter(F.pmod(F.xxhash64("symbol"), F.lit(parts)) == k)
+        got = small.select("path", "text").mapInArrow(_finder(sorted(r[0] for r in own.collect())), "path string, symbol string, line int")
+        found = got if found is None else found.unionByName(got)
+    return found if most is None else found.orderBy("path", "symbol").limit(most)
 
 
 def token_star_edges(rows: DataFrame) -> DataFrame:

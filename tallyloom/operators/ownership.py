@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.paths import ancestors, glob_regex, plain_glob_regex
+from tallyloom.functions.paths import ancestors, glob_regex, glob_root, plain_glob_regex
+
+#: Rules without a folder of their own that meet all paths by one broadcast.
+LOOSE = 10_000
 
 
 def owner_by_prefix(paths: DataFrame, owners: DataFrame, kind: str | None = None) -> DataFrame:
@@ -33,10 +36,26 @@ def rule_table(spark, rules: list[tuple[int, str, list[str]]], plain: bool = Fal
     return spark.createDataFrame([(n, p, o, to(p)) for n, p, o in rules], "line int, pattern string, owners array<string>, regex string")
 
 
+def meet_rules(paths: DataFrame, rules: DataFrame, pattern: str, loose: int = LOOSE) -> DataFrame:
+    """`path` with the columns of each rule whose `regex` it matches.
+
+    A rule with a folder (`glob_root` of its pattern) meets the paths below it by an equi-join on the folders above each
+    path. Rules without one must be tried on every path: they are counted and broadcast, `loose` or so at a time.
+    """
+    p, rooted = paths.select("path").distinct(), rules.withColumn("__root", glob_root(F.col(pattern)))
+    below = p.select("path", F.explode(ancestors(F.col("path"))).alias("__root")).join(rooted.filter("__root <> ''"), "__root")
+    out = below.filter(F.regexp_like("path", F.col("regex"))).select("path", *rules.columns)
+    rest = rooted.filter("__root = '' OR __root IS NULL").drop("__root")
+    parts = -(-rest.count() // loose)
+    for k in range(parts):
+        own = rest if parts == 1 else rest.filter(F.pmod(F.xxhash64("regex"), F.lit(parts)) == k)
+        out = out.unionByName(p.join(F.broadcast(own), F.regexp_like("path", F.col("regex"))).select("path", *rules.columns))
+    return out
+
+
 def codeowners(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The last rule that matches wins; conflict when matching rules name different owners."""
-    hit = paths.select("path").distinct().join(F.broadcast(rules), F.regexp_like("path", F.col("regex")))
-    return hit.groupBy("path").agg(F.max_by("owners", "line").alias("owners"), F.max("line").alias("line"), (F.size(F.collect_set(F.array_sort("owners"))) > 1).alias("conflict"))
+    return meet_rules(paths, rules, "pattern").groupBy("path").agg(F.max_by("owners", "line").alias("owners"), F.max("line").alias("line"), (F.size(F.collect_set(F.array_sort("owners"))) > 1).alias("conflict"))
 
 
 def files_for_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,7 +69,7 @@ def resolve_targets(targets: DataFrame, paths: DataFrame) -> DataFrame:
     """(target, path, state): a literal resolves to itself, a wildcard (with regex) to all matches; else missing."""
     p = paths.select("path").distinct()
     literal = targets.filter(F.col("regex").isNull()).select("target").join(p, F.col("target") == F.col("path"))
-    wild = p.join(F.broadcast(targets.filter(F.col("regex").isNotNull()).select("target", "regex")), F.regexp_like("path", F.col("regex"))).select("target", "path")
+    wild = meet_rules(p, targets.filter(F.col("regex").isNotNull()).select("target", "regex"), "target").select("target", "path")
     found = literal.unionByName(wild)
     return targets.select("target").join(found, "target", "left").withColumn("state", F.when(F.col("path").isNull(), "missing").otherwise("resolved"))
 

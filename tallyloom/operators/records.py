@@ -91,12 +91,15 @@ def _active_contents(claims: DataFrame, key: list[str], most: int) -> DataFrame:
     return active.filter(F.col("__i") <= most).groupBy(*key, "content").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("low"))
 
 
-def contradictions(claims: DataFrame, most: int = 8) -> DataFrame:
-    """Claims against active ones of the same workspace, scope, type and subject with other content, `most` a claim.
+def contradictions(claims: DataFrame, most: int | None = 8) -> DataFrame:
+    """Claims against active ones of the same workspace, scope, type and subject with other content, `most` a claim (all, if None).
 
     Only the first most + 1 distinct contents of a group can be listed, so a group is cut to these before the join.
     """
     key = ["workspace_id", "scope", "claim_type", "subject"]
+    if most is None:
+        other = claims.filter(F.col("state") == "active").select(*key, F.col("content").alias("other_content"), F.col("id").alias("other_id"))
+        return claims.join(other, key).filter((F.col("content") != F.col("other_content")) & (F.col("id") != F.col("other_id"))).select("id", "other_id", *key)
     active = _active_contents(claims, key, most)
     # a claim agrees with one content at most, so the first ids among most + 1 contents are enough
     near = active.withColumn("__r", F.row_number().over(W.partitionBy(*key).orderBy("low"))).filter(F.col("__r") <= most + 1)

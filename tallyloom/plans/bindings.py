@@ -119,7 +119,7 @@ def turns(spark, sf_dir) -> DataFrame:
 
 def claims(spark, sf_dir) -> DataFrame:
     c = turns(spark, sf_dir)
-    return c.select(F.col("seq").alias("id"), F.lit("w").alias("workspace_id"), F.col("role").alias("scope"), F.lit("fact").alias("claim_type"), (F.col("session_id") % 20).cast("string").alias("subject"), F.substring("text", 1, 32).alias("content"), F.when(F.col("session_id") % 3 == 0, "active").otherwise("proposed").alias("state"))
+    return c.select(F.col("seq").alias("id"), F.lit("w").alias("workspace_id"), F.col("role").alias("scope"), F.lit("fact").alias("claim_type"), (F.col("session_id") % 20).cast("string").alias("subject"), F.col("text").alias("content"), F.when(F.col("session_id") % 3 == 0, "active").otherwise("proposed").alias("state"))
 
 
-CLAIMS = """claims AS (SELECT conv_id * 100 + turn AS id, 'w' AS workspace_id, role AS scope, 'fact' AS claim_type, (conv_id % 20)::VARCHAR AS subject, substr(text, 1, 32) AS content, CASE WHEN conv_id % 3 = 0 THEN 'active' ELSE 'proposed' END AS state FROM conversations)"""
+CLAIMS = """claims AS (SELECT conv_id * 100 + turn AS id, 'w' AS workspace_id, role AS scope, 'fact' AS claim_type, (conv_id % 20)::VARCHAR AS subject, text AS content, CASE WHEN conv_id % 3 = 0 THEN 'active' ELSE 'proposed' END AS state FROM conversations)"""

@@ -249,7 +249,8 @@ def r3_snapshot_job(spark, sf_dir):
     top = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
     s = usage(spark, sf_dir, _events(spark, sf_dir))
     s.writeStream.foreachBatch(ST.snapshot_sink(quotas(spark, sf_dir), top, keep=10_000)).option("checkpointLocation", f"{top}-state").trigger(availableNow=True).start().awaitTermination()
-    read = lambda name: spark.read.parquet(f"{top}/sequence=0/{name}")
+    newest = spark.read.parquet(f"{top}/buffer").agg(F.max("version_")).first()[0]
+    read = lambda name: spark.read.parquet(f"{top}/sequence={newest}/{name}")
     out = read("summary").select(F.lit("summary").alias("section"), F.col("provider_id").alias("subject"), F.col("total_tokens").alias("tokens"))
     out = out.unionByName(read("alerts").select(F.lit("alerts").alias("section"), F.concat_ws(":", "kind", "subject").alias("subject"), F.lit(None).cast("long").alias("tokens")))
     return out.unionByName(read("recent").select(F.lit("recent").alias("section"), F.col("id").alias("subject"), F.col("total_tokens").alias("tokens")))

@@ -175,6 +175,47 @@ def test_as_of_resolution(spark):
     assert [(x.ref_id, x.state) for x in N.resolve_as_of(r, d).orderBy("ref_id").collect()] == [(1, "unresolved"), (2, "resolved"), (3, "unresolved"), (4, "resolved"), (5, "ambiguous")]
 
 
+def test_consumers_by_one_automaton(spark):
+    """Symbols inside one another, overlaps, parts of the symbol table, and the plan of many symbols."""
+    texts = [("a", "xx foobar\nbar foo\nfoob"), ("b", "no\n\nobarfoo é😀bar"), ("c", None), ("d", "foobar"), ("e", "")]
+    files = spark.createDataFrame(texts, "path string, text string")
+    symbols = spark.createDataFrame([("foo",), ("foobar",), ("bar",), ("oba",), ("o",), (None,), ("foo",), ("😀ba",)], "symbol string")
+    want = {(p, s, t[: t.index(s)].count("\n") + 1) for p, t in texts if t and p != "d" for s in ("foo", "foobar", "bar", "oba", "😀ba") if s in t}
+    sources = files.filter("path = 'd'")
+    for part in (2, 100):
+        assert {tuple(r) for r in X.text_consumers(files, symbols, sources, part=part).collect()} == want
+    many = spark.range(10_000).select(F.concat(F.lit("word"), F.col("id")).alias("symbol"))
+    out = X.text_consumers(files.unionByName(spark.createDataFrame([("w", "a word77 b")], files.schema)), many, sources)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert {(r.path, r.symbol) for r in out.collect()} == {("w", "word7"), ("w", "word77")}
+
+
+def test_rules_with_a_folder_meet_paths_by_equi_join(spark):
+    import random
+    import re
+
+    from tallyloom.functions.paths import glob_regex
+
+    rng = random.Random(4)
+    patterns = ["apps/web/**", "/apps/*", "apps/web/x.ts", "*.ts", "docs/", "./lib/a?/b", "**/web/*", "lib/**/b", "apps/web", "x", "a[bc]/d/e", ""]
+    paths = ["/".join(rng.choice(["apps", "web", "x.ts", "docs", "lib", "ab", "b", "x"]) for _ in range(rng.randint(1, 4))) for _ in range(200)] + ["apps/web/a", "apps/web", "apps/web/x.ts", "lib/ab/b", "lib/b"]
+    rules = O.rule_table(spark, [(i, p, ["o"]) for i, p in enumerate(patterns)])
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    want = {(p, i) for p in paths for i, g in enumerate(patterns) if re.search(glob_regex(g), p)}
+    for loose in (1, 100):
+        assert {(r.path, r.line) for r in O.meet_rules(df, rules, "pattern", loose).collect()} == want
+    rooted = O.meet_rules(df, rules.filter("pattern LIKE 'apps/%'"), "pattern")
+    assert rooted.count() > 0 and "NestedLoop" not in rooted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contradictions_without_a_cap(spark):
+    rows = [(i, "w", "s", "t", "u", f"c{i % 3}", "active" if i % 2 else "proposed") for i in range(60)]
+    claims = spark.createDataFrame(rows, "id long, workspace_id string, scope string, claim_type string, subject string, content string, state string")
+    want = {(a[0], b[0]) for a in rows for b in rows if b[6] == "active" and a[5] != b[5]}
+    got = R.contradictions(claims, most=None).collect()
+    assert {(r.id, r.other_id) for r in got} == want and len(got) == len(want)
+
+
 def test_as_of_by_blocks_equals_all_pairs(spark):
     """Hot and rare names, statements below zero, open and empty intervals."""
     import random
