@@ -93,21 +93,37 @@ class Automaton:
             out[ends] = self.weights[d][state[ends]]
         return out
 
-    def dump(self) -> bytes:
-        head = np.array([len(self.labels), *map(len, self.labels)], np.int64)
-        return b"".join([head.tobytes(), *[x.tobytes() for d in zip(self.labels, self.parents, self.weights) for x in d]])
+    def dump(self, first: bool = True) -> bytes:
+        """As bytes; without the labels of the first depth if they follow from the others. Steps and weights take as few bytes as they need."""
+        head, body = [len(self.labels)], []
+        for d, (labels, parents, weights) in enumerate(zip(self.labels, self.parents, self.weights)):
+            steps = _narrow(np.diff(parents, prepend=0))
+            weights = _narrow(weights) if weights.any() else np.zeros(0, np.uint8)
+            labels = labels if d or first else labels[:0]
+            head += [len(parents), len(labels), steps.itemsize, len(weights), weights.itemsize]
+            body += [labels.tobytes(), steps.tobytes(), weights.tobytes()]
+        return np.array(head, np.int64).tobytes() + b"".join(body)
 
     @classmethod
     def load(cls, data: bytes) -> Automaton:
         depth = int(np.frombuffer(data, np.int64, 1)[0])
-        sizes, at = np.frombuffer(data, np.int64, depth, 8).tolist(), 8 * (1 + depth)
+        head, at = np.frombuffer(data, np.int64, 5 * depth, 8).reshape(depth, 5).tolist(), 8 * (1 + 5 * depth)
         out = cls(depth)
-        for d, n in enumerate(sizes):
-            out.labels[d], out.parents[d], out.weights[d] = (np.frombuffer(data, t, n, at + 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-            at += 24 * n
+        for d, (n, n_labels, wide, n_weights, weight_wide) in enumerate(head):
+            out.labels[d] = np.frombuffer(data, np.uint64, n_labels, at)
+            at += 8 * n_labels
+            out.parents[d] = np.cumsum(np.frombuffer(data, f"u{wide}", n, at), dtype=np.int64)
+            at += wide * n
+            out.weights[d] = np.frombuffer(data, f"u{weight_wide}", n_weights, at).astype(np.int64) if n_weights else np.zeros(n, np.int64)
+            at += weight_wide * n_weights
         return out
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    most = int(numbers.max(initial=0))
+    return numbers.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
 def union(parts: list[Automaton]) -> Automaton:
     """All rows of the parts, weights of equal rows summed."""
     every = [p.rows() for p in parts]

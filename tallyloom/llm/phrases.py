@@ -32,7 +32,7 @@ from tallyloom.llm.common import materialize, sliced
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Entries that a task or a range holds before it passes them on or sums them; bytes of text that are split into words at a time.
-HELD, TEXT = 1 << 21, 1 << 22
+HELD, TEXT = 1 << 20, 1 << 22
 #: Bits of the bitmap of frequent phrases: 16 a phrase, 16 MB at most.
 MOST_BITS = 1 << 27
 #: Words of the corpus a prefix range, and the most ranges.
@@ -160,6 +160,15 @@ def as_rows(words: np.ndarray) -> np.ndarray:
     return np.column_stack([pair, words])
 
 
+def with_pairs(machine: Automaton) -> Automaton:
+    """An automaton of phrases of two words or more, sent without the hashes of its prefix pairs."""
+    first, second = machine.labels[1], machine.labels[2]
+    pair = chain(first, second[np.searchsorted(machine.parents[2], np.arange(len(first)))])
+    pair[pair == 0] = 1
+    machine.labels[0] = pair[np.searchsorted(machine.parents[1], np.arange(len(machine.parents[0])))]
+    return machine
+
+
 def prefix_range(rows: np.ndarray, bits: int) -> np.ndarray:
     return (rows[:, 0] >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(rows), np.int32)
 
@@ -179,7 +188,7 @@ def _shard(arrays, length: int, shorter: Bitmap | None, bits: int):
         rows, n = sort_rows(as_rows(words[0]), counts[0])
         part = prefix_range(rows, bits)
         cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
-        got = [(int(part[s]), Automaton(rows.shape[1]).add(rows[s:e], n[s:e]).dump()) for s, e in zip(cuts, cuts[1:])]
+        got = [(int(part[s]), Automaton(rows.shape[1]).add(rows[s:e], n[s:e]).dump(first=False)) for s, e in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["part", "automaton"])
 
     for labels in arrays:
@@ -193,7 +202,7 @@ def _shard(arrays, length: int, shorter: Bitmap | None, bits: int):
         held += len(u)
         if held > HELD:
             fold()
-            if held > HELD // 2:
+            if 4 * held > 3 * HELD:
                 yield from flush()
                 hashes, words, counts, held = [], [], [], 0
     if hashes:
@@ -252,9 +261,9 @@ def _merge(least: int):
                     yield done()
                     held, size = [], 0
                 part = p
-                held.append(Automaton.load(blob.as_py()))
+                held.append(with_pairs(Automaton.load(blob.as_py())))
                 size += len(held[-1].labels[-1])
-                if size > HELD and len(held) > 1:
+                if size > HELD // 2 and len(held) > 8:
                     held = [union(held)]
                     size = len(held[0].labels[-1])
         if held:

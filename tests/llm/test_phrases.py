@@ -60,12 +60,12 @@ def test_odd_tables(spark):
 
 
 def test_shards_that_flush_often_unite_to_all_counts(monkeypatch):
-    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "HELD", 200)
     rng = np.random.default_rng(5)
     arrays = [rng.integers(0, 9, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(20)]
     want = Counter(tuple(a[i : i + 3].view(np.int64).tolist()) for a in arrays for i in range(298) if a[i : i + 3].all())
     batches = [b for s in range(0, 20, 5) for b in phrases._shard(iter(arrays[s : s + 5]), 3, None, 3)]
-    assert len(batches) > 20
+    assert len(batches) > 4
     pairs = sorted((p, blob.as_py()) for b in batches for p, blob in zip(b.column("part").to_pylist(), b.column("automaton")))
     sent = pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int32()), pa.array([b for _, b in pairs])], ["part", "automaton"])
     got = {tuple(w): n for b in phrases._merge(2)([sent]) for w, n in zip(b.column("words").to_pylist(), b.column("a").to_pylist())}
