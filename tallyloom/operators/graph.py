@@ -120,7 +120,7 @@ def strong_components(deps: DataFrame) -> DataFrame:
 
 
 def cycles(deps: DataFrame) -> DataFrame:
-    """(cycle_id, members, size): sorted members and their digest."""
+    """(cycle_id, members, size): sorted members and their digest. A cycle's members are one row; where one may have millions, take `strong_components`, a row a node."""
     by = strong_components(deps).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
     return by.select(F.sha2(F.array_join(F.transform("members", lambda x: x.cast("string")), "\x00"), 256).alias("cycle_id"), "members", F.size("members").alias("size"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
 from tallyloom.functions.identity import identity_tokens
+from tallyloom.functions.scratch import scratch_dir
 from tallyloom.operators import changes as X
 from tallyloom.operators import records as R
 from tallyloom.operators import search as S
@@ -246,6 +249,14 @@ def s10_import_records(spark, sf_dir):
     return R.import_records(store, o).select("original_id", "id", "state")
 
 
+@query("""SELECT role AS scope, conv_id * 100 + turn AS id, text AS content FROM conversations WHERE role = 'user'""")
+def s10_export_records(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/exports/{uuid.uuid4().hex}"
+    rows = turns(spark, sf_dir).select(F.col("role").alias("scope"), F.col("seq").alias("id"), F.col("text").alias("content"))
+    R.export_records(rows, "user", path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id AS claim_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
   CASE event_type WHEN 'click' THEN 'validated' WHEN 'purchase' THEN 'active' WHEN 'view' THEN 'superseded' WHEN 'error' THEN 'rejected' ELSE 'tombstoned' END AS s FROM events),
 f(claim_id, n, state, refused) AS (SELECT DISTINCT claim_id, 0::BIGINT, 'proposed', 0::BIGINT FROM e UNION ALL

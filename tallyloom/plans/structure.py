@@ -169,6 +169,22 @@ def p12_location_rows(spark, sf_dir):
     return N.location_rows(s)
 
 
+@query("""SELECT l_orderkey AS caller, l_partkey AS callee, l_linenumber AS line FROM lineitem""")
+def p12_call_rows(spark, sf_dir):
+    """An order is a symbol that calls its parts."""
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("symbol_id")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("line"))).alias("calls"))
+    return N.call_rows(own)
+
+
+_TEST_NAME = "CASE p_size % 6 WHEN 0 THEN 'test_' || p_partkey || '.py' WHEN 1 THEN p_partkey || '_test.go' WHEN 2 THEN p_partkey || '.spec.ts' WHEN 3 THEN 'conftest.py' WHEN 4 THEN 'contest_' || p_partkey || '.py' ELSE p_partkey || '.ts' END"
+
+
+@query(f"""SELECT p_brand || '/' || {_TEST_NAME} AS path, p_size % 6 < 4 AS is_test FROM part""")
+def p11_test_paths(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat(F.col("p_brand"), F.lit("/"), F.expr(_TEST_NAME)).alias("path"))
+    return p.withColumn("is_test", P.is_test_path(F.col("path")))
+
+
 @query("""SELECT l_orderkey AS path, l_partkey + 1 AS line, l_linenumber + 1 AS "column", CASE WHEN l_returnflag = 'R' THEN 'candidate' ELSE 'resolved' END AS status, CASE WHEN l_returnflag = 'R' THEN 0.6::DOUBLE ELSE 1.0 END AS confidence FROM lineitem""")
 def p11_fragment_rows(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("col"), F.when(F.col("l_returnflag") == "R", "candidate").otherwise("symbol").alias("projection"))
@@ -218,6 +234,13 @@ def g4_strong_components(spark, sf_dir):
     return G.strong_components(edges(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, reach(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM reach r JOIN edges e ON e.source = r.b),
+scc AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT sha256(string_agg(node::VARCHAR, chr(0) ORDER BY node)) AS cycle_id, string_agg(node::VARCHAR, ',' ORDER BY node) AS members, count(*) AS size FROM scc GROUP BY component""")
+def g4_cycles(spark, sf_dir):
+    return G.cycles(edges(spark, sf_dir)).select("cycle_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.col("size").cast("long").alias("size"))
+
+
 @query(f"""WITH {EDGES} SELECT p_partkey AS symbol_id, CASE WHEN p_size > 25 THEN 'uncertain' ELSE 'likely' END AS certainty, least(0.5::DOUBLE, CASE WHEN p_size > 25 THEN 0.35::DOUBLE ELSE 0.65::DOUBLE END) AS confidence FROM part WHERE p_brand <> 'Brand#7' AND p_partkey NOT IN (SELECT target FROM edges) AND p_type <> 'ECONOMY'""")
 def g5_dead_code(spark, sf_dir):
     p = table(spark, sf_dir, "part")
