@@ -26,6 +26,19 @@ def _boost(kind: Column) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def gain(idf: Column, wtf: Column, dl: Column, mean: Column) -> Column:
+    """What a term adds to the score; more for more weight and for shorter documents."""
+    return idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * dl / mean))
+
+
+def boosted(raw: Column, kind: Column, boost: str) -> Column:
+    return raw * _boost(kind) if boost == "multiply" else raw / _boost(kind)
+
+
 def terms_of(query: str) -> list[tuple[str, bool]]:
     """(term, whether it is a prefix): the last one is when the query ends in it."""
     found = [t.lower() for t in _TOKEN.findall(query)]
@@ -34,17 +47,14 @@ def terms_of(query: str) -> list[tuple[str, bool]]:
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
-    """(term, fact_key, field, tf) for docs with a row a fact; write it bucketed or sorted by term and search it many times.
+    """(term, fact_key, field, tf) for docs with a row a fact; `textindex` stores them for many searches.
 
-    A text's terms are sorted and counted within its row, so that nothing is shuffled.
+    Texts are shuffled by key, which is less than their postings would be; the grouping needs no shuffle then.
     """
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.array_sort(query_tokens(F.col(c))).alias("t")) for c in WEIGHTS])
-    one = docs.select("fact_key", F.explode(fields).alias("x")).select("fact_key", "x.field", "x.t").filter(F.size("t") > 0)
-    n = F.size("t")
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    cut = one.select("fact_key", "field", "t", first.alias("at"))
-    counts = F.transform("at", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), n) - i).cast("long").alias("tf")))
-    return cut.select("fact_key", "field", F.explode(counts).alias("c")).select("c.term", "fact_key", "field", "c.tf")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), query_tokens(F.col(c)).alias("t")) for c in WEIGHTS])
+    one = docs.repartition("fact_key").select("fact_key", F.explode(fields).alias("x"))
+    terms = one.select("fact_key", "x.field", F.explode("x.t").alias("term"))
+    return terms.groupBy("term", "fact_key", "field").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def _posted_terms(docs: DataFrame, wanted: list[tuple[str, bool]], post: DataFra
     return hits.groupBy("q", "fact_key").agg(F.sum(F.col("tf") * weight[F.col("field")]).cast("double").alias("wtf")), document_lengths(docs)
 
 
-def _page(out: DataFrame, order: list, offset: int, limit: int | None) -> DataFrame:
+def page_of(out: DataFrame, order: list, offset: int, limit: int | None) -> DataFrame:
     """Rows offset to offset + limit in order; with a limit, `has_more` tells whether others follow."""
     if limit is None:
         return out.orderBy(*order)
@@ -96,16 +106,14 @@ def search(docs: DataFrame, query: str, kinds: list[str] | None = None, prefixes
     df = by.groupBy("q").agg(F.count("*").alias("df"))  # a row a term of the query
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     j = by.join(F.broadcast(df), "q").join(lengths, "fact_key").crossJoin(stats)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    part = gain(inverse_frequency(F.col("n"), F.col("df")), F.col("wtf"), F.col("dl"), F.col("mean"))
     scored = j.groupBy("fact_key").agg(F.sum(part).alias("raw"), F.count("*").alias("terms"))
     if mode == "all":
         scored = scored.filter(F.col("terms") == len(wanted))
     out = docs.select("fact_key", "kind", "path").join(scored, "fact_key").filter(in_scope(F.col("path"), prefixes or []))
     if kinds:
         out = out.filter(F.col("kind").isin(kinds))
-    score = F.col("raw") * _boost(F.col("kind")) if boost == "multiply" else F.col("raw") / _boost(F.col("kind"))
-    return _page(out.select("fact_key", "kind", "path", score.alias("score")), [F.desc("score"), F.col("fact_key")], offset, limit)
+    return page_of(out.select("fact_key", "kind", "path", boosted(F.col("raw"), F.col("kind"), boost).alias("score")), [F.desc("score"), F.col("fact_key")], offset, limit)
 
 
 def _count(text: Column, needle: str) -> Column:

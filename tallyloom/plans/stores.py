@@ -12,6 +12,7 @@ from tallyloom.functions.scratch import scratch_dir
 from tallyloom.operators import changes as X
 from tallyloom.operators import records as R
 from tallyloom.operators import search as S
+from tallyloom.operators.textindex import TextIndex
 from tallyloom.plans.bindings import CLAIMS, FILES, OLD_NEW, PAGES, claims, files, pages, table, turns
 
 QUERIES: dict = {}
@@ -300,6 +301,18 @@ def t1_search_page(spark, sf_dir):
     return S.search(search_docs(spark, sf_dir), "the ering", limit=20, offset=10).select("fact_key", "path", "has_more")
 
 
+@query(ORACLES["t1_search_page"])
+def t1_search_stored(spark, sf_dir):
+    """A page from a stored index: a first version with other bodies and further documents, then the change set that leads to today's."""
+    d = search_docs(spark, sf_dir)
+    index = TextIndex(spark, f"{scratch_dir(spark)}/indexes/{uuid.uuid4().hex}", d.schema["fact_key"].dataType)
+    changed, gone = F.col("fact_key") % 13 == 0, F.col("fact_key") % 17 == 0
+    more = d.filter(gone).withColumn("fact_key", -F.col("fact_key") - 1)
+    index.update(d.withColumn("body", F.when(changed, F.col("path")).otherwise(F.col("body"))).unionByName(more), 0)
+    index.update(d.filter(changed), 1, more)
+    return index.search("the ering", limit=20, offset=10).select("fact_key", "path", "has_more")
+
+
 @query(f"""WITH {_SEARCH}, c AS (SELECT *, (len(lower(body)) - len(replace(lower(body), 'ering', ''))) / 5 + (len(path) - len(replace(path, 'ering', ''))) / 5 + (len(title) - len(replace(title, 'ering', ''))) / 5 AS a, (len(lower(body)) - len(replace(lower(body), 'src1', ''))) / 4 + (len(path) - len(replace(path, 'src1', ''))) / 4 + (len(title) - len(replace(title, 'src1', ''))) / 4 AS b FROM docs)
 SELECT fact_key, kind, path, least(a + b, 8) * CASE kind WHEN 'chunk' THEN 1.0 ELSE 1.6 END AS score FROM c WHERE a > 0 AND b > 0""")
 def t3_linear_search(spark, sf_dir):

@@ -13,6 +13,7 @@ from tallyloom.functions.quantiles import value_ranks, with_quantiles
 from tallyloom.operators import records as R
 from tallyloom.operators import resolution as N
 from tallyloom.operators import search as S
+from tallyloom.operators.textindex import TextIndex
 
 DOCS = [(1, "chunk", "src/a.py", "Alpha", "beta beta $x @y beta"), (2, "file", "src/b", None, ""), (3, "file", "x", "alpha beta", None), (4, "chunk", "y", "t", "gamma alpha " * 50)]
 
@@ -35,6 +36,30 @@ def test_search_is_the_same_with_and_without_postings(spark):
     assert S.search(d, "").count() == 0
 
 
+def test_stored_index_follows_change_sets(spark, tmp_path):
+    words = ("alpha", "alphabet", "beta", "gamma", "the", "rare")
+
+    def doc(k, turn):
+        body = " ".join(words[(k * 7 + i * i + turn) % (5 + (k % 9 == 0))] for i in range(3 + k % 40))
+        return (k, "chunk" if k % 2 else "file", f"src/{k % 4}", f"t{k % 3} {words[k % 3]}", body if k % 11 else None)
+
+    schema, live = "fact_key int, kind string, path string, title string, body string", {}
+    index = TextIndex(spark, f"file://{tmp_path}/index", spark.createDataFrame([], schema).schema["fact_key"].dataType, fan=3, chunk=16)
+    sets = [(range(120), []), (range(0, 60, 5), [7, 8]), (range(200, 240), [1, 500]), ([], [0, 2, 3]), ([7, 300], []), (range(0, 240, 9), [4])]
+    for version, (keys, deleted) in enumerate(sets):
+        new = [doc(k, version) for k in keys]
+        index.update(spark.createDataFrame(new, schema), version, spark.createDataFrame([(k,) for k in deleted], "fact_key int"))
+        live = {k: v for k, v in live.items() if k not in deleted} | {d[0]: d for d in new}
+    now = spark.createDataFrame(list(live.values()), schema)
+    rows = lambda d: [(r.fact_key, r.kind, r.path, round(r.score, 9)) for r in d.collect()]
+    assert sorted(rows(index.search("alpha beta ", mode="all"))) == sorted(rows(S.search(now, "alpha beta ", mode="all")))
+    for query, mode, more in (("rare alph", "any", {}), ("t1 gamma ", "any", {"kinds": ["file"], "prefixes": ["src/2"]}), ("alpha beta ", "all", {"boost": "divide", "offset": 2})):
+        assert rows(index.search(query, mode=mode, limit=3, **more)) == rows(S.search(now, query, mode=mode, limit=3, **more))
+    index.update(spark.createDataFrame([doc(1, 0)], schema), 5)  # a version that is there already is left
+    assert index.search("the ", mode="any").count() == S.search(now, "the ").count()
+    assert len(index._manifest(5)[0]) < len(sets) and index.search("").count() == 0
+
+
 def test_pages_tell_whether_more_follow(spark):
     d = spark.range(7).select(F.col("id").alias("fact_key"), F.lit("file").alias("kind"), F.lit("p").alias("path"), F.lit("t").alias("title"), F.lit("word").alias("body"))
     page = lambda offset: [(r.fact_key, r.has_more) for r in S.search(d, "word", limit=3, offset=offset).collect()]
