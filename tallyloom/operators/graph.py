@@ -5,11 +5,14 @@ Loops write each step's small table to the shared folder, so that lineage doesn'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tallyloom.functions.scratch import materialize
+from tallyloom.functions.scratch import materialize, scratch_dir
 
 #: Hops of a closure between two writes.
 STEPS = 3
@@ -36,28 +39,66 @@ def consumers(edges: DataFrame, tables: tuple = ("imports", "calls")) -> DataFra
 def impact(deps: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(node, depth, path): what depends on the seeds, breadth first, each node by its first path.
 
-    The order of a level is (parent's order, name), which is the order of the paths themselves; so the least path
-    of each node is kept and no level is numbered. Seeds are never rows.
+    The order of a level is (parent's order, name), which is the order of the paths themselves. The search keeps a node, its
+    depth, its parent and the parent's place in its level; a level is sorted once, so no path travels. Paths are put together at the
+    end, level by level for the rows that are returned. A level joins its frontier once with the edges and once with the nodes seen,
+    which lie in a table a level. Seeds are never rows.
     """
     edges = materialize(deps.select("source", "target").distinct())
-    front = materialize(seeds.select(F.col("node")).distinct().select("node", F.array(F.col("node").cast("string")).alias("path"), F.lit(0).alias("depth")))
-    every = front
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    spark = edges.sparkSession
+    folder = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+    def put(level: DataFrame, depth: int) -> DataFrame:
+        """Write a level (node, parent, up) and read it back with `place`, which grows with (up, the node's text)."""
+        name = F.col("node").cast("string")
+        ranked = level.repartitionByRange("up", name).sortWithinPartitions("up", name).withColumn("place", F.monotonically_increasing_id())
+        ranked.write.parquet(f"{folder}/depth={depth}")
+        return spark.read.schema(ranked.schema).parquet(f"{folder}/depth={depth}")
+
+    first = seeds.select("node").distinct()
+    front = put(first.select("node", F.lit(None).cast(first.schema["node"].dataType).alias("parent"), F.lit(0).cast("long").alias("up")), 0)
+    shape, depth = front.schema, 0
+    while (max_depth is None or depth < max_depth) and front.limit(1).count():
         depth += 1
-        step = edges.join(front, F.col("target") == F.col("node")).select(F.col("source").alias("node"), F.concat("path", F.array(F.col("source").cast("string"))).alias("path"))
-        step = step.groupBy("node").agg(F.min("path").alias("path")).join(every.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        front = materialize(step.select("node", "path", "depth"))
-        if not front.limit(1).count():
-            break
-        every = every.unionByName(front)
+        step = edges.join(front.select(F.col("node").alias("target"), "place"), "target").groupBy(F.col("source").alias("node")).agg(F.min(F.struct("place", "target")).alias("b"))
+        seen = spark.read.schema(shape).parquet(*[f"{folder}/depth={d}" for d in range(depth)]).select("node")
+        front = put(step.join(seen, "node", "left_anti").select("node", F.col("b.target").alias("parent"), F.col("b.place").alias("up")), depth)
+    every = spark.read.schema(StructType([*shape.fields, StructField("depth", IntegerType())])).parquet(folder)
     out = every.filter("depth > 0")
     if max_rows is not None:
-        out = out.orderBy("depth", "path").limit(max_rows)
+        out = out.orderBy("depth", "place").limit(max_rows)
+    out = _paths(every, out, depth)
     if max_bytes is not None:
-        size = F.octet_length(F.array_join("path", "/"))
-        out = out.withColumn("__b", F.sum(size).over(W.orderBy("depth", "path").rowsBetween(W.unboundedPreceding, 0))).filter(F.col("__b") <= max_bytes).drop("__b")
-    return out
+        out = _within(out, F.octet_length(F.array_join("path", "/")), max_bytes)
+    if max_rows is not None:
+        out = out.orderBy("depth", "place")
+    return out.select("node", "depth", "path")
+
+
+def _paths(every: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """(node, depth, place, path) of rows by their parents: pointers double, so a path of n nodes takes about log n joins."""
+    text = lambda c: F.col(c).cast("string")
+    # a jump of a node: the ancestor it ends at, and the names from below that ancestor down to the node
+    jump = every.select("node", F.col("parent").alias("to"), F.array(text("node")).alias("tail"))
+    span = 1
+    while span <= depth:
+        j = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("tail").alias("head"))
+        jump = materialize(jump.join(j, "to", "left").select("node", F.col("to2").alias("to"), F.concat(F.coalesce("head", F.array().cast("array<string>")), "tail").alias("tail")))
+        span *= 2
+    return rows.select("node", "depth", "place").join(jump.select("node", F.col("tail").alias("path")), "node")
+
+
+def _within(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """The first rows by (depth, place) whose sizes add up to `most` at most; sums of parts in order, then within a part."""
+    cut = materialize(rows.withColumn("__s", size).repartitionByRange("depth", "place").sortWithinPartitions("depth", "place").withColumn("__p", F.spark_partition_id()))
+    before, n = {}, 0
+    for r in sorted(cut.groupBy("__p").agg(F.sum("__s").alias("s")).collect(), key=lambda r: r["__p"]):  # a number a part
+        before[r["__p"]], n = n, n + r.s
+    if not before:
+        return cut.drop("__s", "__p")
+    base = F.element_at(F.create_map(*[F.lit(x) for p, k in before.items() for x in (p, k)]), F.col("__p")).cast("long")
+    upto = base + F.sum("__s").over(W.partitionBy("__p").orderBy("depth", "place").rowsBetween(W.unboundedPreceding, 0))
+    return cut.withColumn("__u", upto).filter(F.col("__u") <= most).drop("__s", "__p", "__u")
 
 
 def strong_components(deps: DataFrame) -> DataFrame:

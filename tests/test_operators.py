@@ -1,6 +1,7 @@
 """Operators on literal rows: the properties that matter, with shuffled input where order must not."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -134,6 +135,31 @@ def test_impact_paths_and_limits(spark):
     assert G.impact(e, seeds, max_rows=2).count() == 2 and G.impact(e, seeds, max_depth=1).count() == 2
 
 
+def test_impact_keeps_first_paths_of_a_random_graph(spark):
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(130)})
+    level, seen = [(("23",), 23), (("7",), 7)], {7, 23}
+    depth, listed = 0, []
+    while level:
+        depth += 1
+        best = {}
+        for path, node in level:
+            for a, b in edges:
+                if b == node and a not in seen:
+                    best[a] = min(best.get(a, (*path, str(a))), (*path, str(a)))
+        level = sorted((p, n) for n, p in best.items())
+        seen |= set(best)
+        listed += [(n, depth, list(p)) for p, n in level]
+    e, seeds = spark.createDataFrame(edges, "source int, target int"), spark.createDataFrame([(7,), (23,), (7,)], "node int")
+    got = [(r.node, r.depth, r.path) for r in G.impact(e, seeds, max_rows=10_000).collect()]
+    assert got == listed and len(listed) > 20
+    assert [(r.node, r.depth, r.path) for r in G.impact(e, seeds, max_rows=11).collect()] == listed[:11]
+    sizes, most = [len("/".join(p)) for _, _, p in listed], 100
+    n = sum(sum(sizes[: i + 1]) <= most for i in range(len(sizes)))
+    assert {r.node for r in G.impact(e, seeds, max_bytes=most).collect()} == {x[0] for x in listed[:n]}
+    assert G.impact(e, seeds.limit(0)).count() == 0 and G.impact(e.limit(0), seeds).count() == 0
+
+
 def test_cycles_are_the_same_for_reversed_input(spark):
     rows = [("a", "b"), ("b", "a"), ("b", "c"), ("x", "y"), ("z", "z"), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "a"), ("y", "x2")]
     one = {(r.cycle_id, tuple(r.members)) for r in G.cycles(spark.createDataFrame(rows, EDGE)).collect()}
