@@ -17,6 +17,7 @@ from tallyloom.plans.bindings import CALLS, PAGES, QUOTAS, USAGE, calls, files,
 from tallyloom.sources import catalog as SC
 from tallyloom.sources import sinks as SK
 from tallyloom.sources import usage as SU
+from tallyloom.sources.tree import write_files
 from tallyloom.streaming import jobs as ST
 
 QUERIES: dict = {}
@@ -157,6 +158,17 @@ def s8_write_report(spark, sf_dir):
     return a.unionByName(spark.read.parquet(f"{path}/totals").select(F.lit("totals").alias("section"), F.lit("all").alias("name"), "calls"))
 
 
+@query("""SELECT doc_id, sha256(text || chr(10)) AS digest, strlen(text) + 1 AS byte_count, (length(text) - length(replace(text, chr(10), '')) + 2)::INTEGER AS lines FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 4""")
+def s5_capture_files(spark, sf_dir):
+    """Documents as a tree of files, a fifth of them below a vendored folder, captured again."""
+    root = f"{scratch_dir(spark)}/trees/{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    place = F.when(F.col("doc_id") % 5 == 4, F.array(F.lit("node_modules"), F.lit("lib"))).otherwise(F.array(F.lit("src"), F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string"))))
+    write_files(d.select(F.concat_ws("/", F.array_join(place, "/"), F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.concat("text", F.lit("\n")).alias("text")), root)
+    got = SC.capture_files(spark, root)
+    return got.select(F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long").alias("doc_id"), "digest", "byte_count", "lines")
+
+
 @query("""SELECT 'm' || (o_custkey % 7) AS model_id, o_orderkey AS occurred_at, o_custkey AS input_tokens, o_custkey + 10 + 5 AS total_tokens FROM orders""")
 def s4_flatten_bucket_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

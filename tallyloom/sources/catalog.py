@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.paths import eligible, language_of
+from tallyloom.functions.paths import LOCK_FILES, eligible, language_of
+from tallyloom.sources.tree import list_tree, read_files
+
+#: Bytes of a file that is captured, at most.
+MAX_FILE = 4 << 20
 
 
 def capture_files(spark: SparkSession, root: str, own_only: bool = True) -> DataFrame:
-    """path (below the root), text, digest, bytes, lines, newline kind and language of every file."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    df = raw.select(path.alias("path"), "content")
+    """path (below the root), text, digest, bytes, lines, newline kind and language of every file.
+
+    Own files only: vendored folders are not listed, lock files and files too large or empty are not opened.
+    """
     if own_only:
-        df = df.filter(eligible(F.col("path"), F.col("content")))
+        listed = list_tree(spark, root).filter(~F.col("path").rlike(LOCK_FILES) & F.col("bytes").between(1, MAX_FILE))
+        df = read_files(listed, root).filter(eligible(F.col("path"), F.col("content"), MAX_FILE))
+    else:
+        df = read_files(list_tree(spark, root, ()), root)
     text = F.col("content").cast("string")
     nl = F.when(F.instr(text, "\r\n") > 0, F.when(F.regexp_count(text, F.lit("(?<!\r)\n")) > 0, "mixed").otherwise("crlf")).when(F.instr(text, "\n") > 0, "lf").otherwise("none")
     lines = F.size(F.split(text, "\n"))

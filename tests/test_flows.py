@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.sources import catalog as SC
 from tallyloom.sources import sinks as SK
 from tallyloom.sources import usage as SU
+from tallyloom.sources.tree import list_tree
 from tallyloom.streaming import jobs as ST
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -161,3 +162,16 @@ def test_entry_imports_without_the_llm_folder(tmp_path):
     code = f"import sys; sys.path[:0] = [{str(tmp_path)!r}]; import importlib.util as u; s = u.spec_from_file_location('e', {str(tmp_path / '__spark_entry__.py')!r}); m = u.module_from_spec(s); s.loader.exec_module(m); q = m.queries(); assert q and not any(k.startswith(('op', 'pipeline')) for k in q); print('fine')"
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert got.stdout.strip() == "fine", got.stderr[-500:]
+
+
+def test_vendored_folders_are_never_entered(spark, tmp_path):
+    root = tmp_path / "a.b+c [x]"
+    for name, data in {"src/a.py": b"x = 1\r\n", "src/deep/er/b.md": b"t", "node_modules/m/c.js": b"y", "src/node_modules/d.js": b"y", "yarn.lock": b"z", "e.txt": b"", "f.bin": b"\x00"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "empty").mkdir()
+    listed = {r.path: r.bytes for r in list_tree(spark, str(root)).collect()}
+    assert listed == {"src/a.py": 7, "src/deep/er/b.md": 1, "yarn.lock": 1, "e.txt": 0, "f.bin": 1}
+    assert {(r.path, r.newline) for r in SC.capture_files(spark, f"file://{root}").collect()} == {("src/a.py", "crlf"), ("src/deep/er/b.md", "none")}
+    assert SC.capture_files(spark, str(root), own_only=False).count() == 7
+    assert list_tree(spark, str(root / "empty")).count() == 0
