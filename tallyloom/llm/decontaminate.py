@@ -103,21 +103,22 @@ def covered(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keyed: bool = False) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated (keyed: and __th)."""
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated (keyed: and th, the text's hash)."""
     base, found = hits(docs, benchmark, window)
     found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), covered(F.col("spans")).alias("n_hit"), "items")
     out = base.join(found, base["doc_id"].eqNullSafe(found["__d"]) & (base["th"] == found["__t"]), "left")
     out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *([F.col("th").alias("__th")] if keyed else []))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *(["th"] if keyed else []))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those of which 5 % of the words or more stand in benchmark windows; all columns kept."""
-    bad = report(docs, benchmark, window, keyed=True).filter("contaminated").select("doc_id", "__th").distinct()
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    return join_keys(keyed, materialize(bad), ["doc_id", "__th"], "left_anti").drop("__th")
+    bad = report(docs, benchmark, window, keyed=True).filter("contaminated").select("doc_id", "th").distinct()
+    # a row travels as one struct, so that no column of the caller meets the key's
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
+    return join_keys(packed, materialize(bad), ["doc_id", "th"], "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -356,8 +356,12 @@ def deduplicate(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGL
     """
     gone = materialize(cluster(docs, per_cent, shingle).filter(~F.col("kept")).select("doc_id"))
     out = join_keys(docs, gone.distinct(), ["doc_id"], "left_anti")
-    again = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64(*docs.columns)).alias("__h")).filter("n > 1").select("doc_id", "__h"))
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", digest.alias("h"))
+    again = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1").select("doc_id", "h"))
     if not again.limit(1).count():
         return out
-    first = join_keys(out.select(*docs.columns, F.xxhash64(*docs.columns).alias("__h")), again, ["doc_id", "__h"], "left_semi").drop("__h").dropDuplicates(["doc_id"])
+    # a row travels as one struct, so that no column of the caller meets one of these
+    packed = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", digest.alias("h"))
+    first = join_keys(packed, again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]).select("row.*")
     return join_keys(out, again.select("doc_id"), ["doc_id"], "left_anti").unionByName(first)

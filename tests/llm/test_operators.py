@@ -72,6 +72,25 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, stage):
         assert out.count() <= 3 * max(df.count(), 1)
 
 
+def test_filters_keep_columns_whose_names_clash(spark):
+    from tallyloom.llm.decontaminate import decontaminate
+    from tallyloom.llm.neardup import deduplicate
+
+    hit, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    rows = [(1, hit, 7), (2, other, 8), (2, other + " more", 9), (3, other, 10), (None, None, 11), (4, "", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h int").selectExpr("*", "__h + 1 AS __th", "__h + 2 AS __d", "__h + 3 AS h", "__h + 4 AS th", "__h + 5 AS row", "__h + 6 AS n")
+    names = df.columns
+
+    def marks(out):
+        assert out.columns == names
+        assert all(list(r)[2:] == [r["__h"] + i for i in range(7)] for r in out.collect())
+        return sorted(r["__h"] for r in out.collect())
+
+    assert marks(decontaminate(df, spark.createDataFrame([("i", hit)], "item_id string, text string"))) == [8, 9, 10, 11, 12]
+    kept = marks(deduplicate(df))
+    assert [x for x in kept if x not in (8, 9)] == [7, 11, 12] and len(kept) == 4
+
+
 # ---- suffix sorting ----
 
 
