@@ -35,6 +35,14 @@ def apply_changes(old_facts: DataFrame, new_facts: DataFrame, changes: DataFrame
     return kept.unionByName(fresh)
 
 
+def fingerprint_digits(n: int, rows: int) -> int:
+    """Digits of the first level's prefixes for n lines: 2, 4, and so on."""
+    digits = 2
+    while 16**digits * rows < n:
+        digits += 2
+    return digits
+
+
 def fingerprint(files: DataFrame, group: list[str] | None = None, rows: int = 10_000) -> DataFrame:
     """A digest of the set of (path, digest), whatever the order.
 
@@ -42,9 +50,7 @@ def fingerprint(files: DataFrame, group: list[str] | None = None, rows: int = 10
     prefixes shorter by two, so that none but the last lists holds more than 256 of them.
     """
     keys = group or []
-    n, digits = files.count(), 2
-    while 16**digits * rows < n:
-        digits += 2
+    digits = fingerprint_digits(files.count(), rows)
     level = files.select(*keys, F.md5("path").alias("k"), F.concat_ws("\x00", "path", "digest").alias("x"))
     for d in range(digits, -1, -2):
         level = level.groupBy(*keys, F.substring("k", 1, d).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("x"))

@@ -12,6 +12,7 @@ from tallyloom.functions.scratch import scratch_dir
 from tallyloom.operators import changes as X
 from tallyloom.operators import records as R
 from tallyloom.operators import search as S
+from tallyloom.operators.hashtree import HashTree
 from tallyloom.operators.textindex import TextIndex
 from tallyloom.plans.bindings import CLAIMS, FILES, OLD_NEW, PAGES, claims, files, pages, table, turns
 
@@ -48,6 +49,36 @@ def a15_fingerprint(spark, sf_dir):
     return X.fingerprint(files(spark, sf_dir), ["lang"])
 
 
+def _level(source: str, digits: int) -> str:
+    """SQL: nodes of longer prefixes folded to so many digits; those that have no more stay."""
+    return f"SELECT v, substr(k, 1, {digits}) AS k, CASE WHEN max(length(k)) > {digits} THEN sha256(string_agg(x, chr(10) ORDER BY x)) ELSE max(x) END AS x FROM {source} GROUP BY ALL"
+
+
+def _two_generations(spark, sf_dir) -> HashTree:
+    """A stored tree of the old files, and of the new ones by their change set."""
+    tree = HashTree(spark, f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}", rows=16)
+    old, new = (files(spark, sf_dir, v).select("path", "digest") for v in ("old", "new"))
+    tree.update(old, 1)
+    tree.update(X.diff_snapshots(old, new, "g2").select("path", F.col("current").alias("digest")), 2)
+    return tree
+
+
+@query(f"""WITH {OLD_NEW}, f AS (SELECT 1 AS v, path, sha256(text) AS digest FROM old UNION ALL SELECT 2, path, sha256(text) FROM new),
+c AS (SELECT v, count(*) AS files, CASE WHEN count(*) <= 4096 THEN 2 WHEN count(*) <= 1048576 THEN 4 ELSE 6 END AS digits FROM f GROUP BY v),
+l AS (SELECT v, substr(md5(path), 1, digits) AS k, sha256(string_agg(path || chr(0) || digest, chr(10) ORDER BY path || chr(0) || digest)) AS x FROM f JOIN c USING (v) GROUP BY ALL),
+l4 AS ({_level("l", 4)}), l2 AS ({_level("l4", 2)}), l0 AS ({_level("l2", 0)})
+SELECT v AS version, x AS fingerprint, files FROM l0 JOIN c USING (v)""")
+def a15_stored_tree(spark, sf_dir):
+    tree = _two_generations(spark, sf_dir)
+    one, two = (tree.root(v).select(F.lit(v).alias("version"), "fingerprint", "files") for v in (1, 2))
+    return one.unionByName(two)
+
+
+@query(ORACLES["x1_diff_snapshots"])
+def x1_diff_stored_tree(spark, sf_dir):
+    return _two_generations(spark, sf_dir).diff(1, 2, "g2")
+
+
 @query("""WITH a AS (SELECT o_custkey, count(*) AS candidates, count(*) FILTER (o_orderstatus <> 'P') AS resolved, bool_or(o_orderpriority = '1-URGENT') AS c, bool_or(o_orderkey % 7 = 0) AS t, bool_or(o_orderkey % 5 = 0) AS u, list_sort(list_distinct(list(o_orderpriority))) AS r FROM orders GROUP BY 1)
 SELECT o_custkey, candidates, resolved, CASE WHEN c THEN 'changed' WHEN t THEN 'truncated' WHEN u THEN 'unsupported' WHEN resolved < candidates THEN 'partial' ELSE 'complete' END AS status, array_to_string(CASE WHEN len(r) > 3 THEN list_concat(r[1:3], ['and ' || (len(r) - 3) || ' more']) ELSE r END, ';') AS reasons FROM a""")
 def a11_coverage(spark, sf_dir):
