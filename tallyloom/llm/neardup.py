@@ -242,7 +242,7 @@ def _propose(most: int, least: float):
         yield cid[p], cid[p + 1]
         for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
             m, who = e - s, np.flatnonzero(asks[s:e]) + s
-            step = max(1, 2_000_000 // m)
+            step = max(1, 200_000 // m)  # 48 bytes a pair, three times
             for k in range(0, len(who) if m > 1 else 0, step):
                 own = who[k : k + step]
                 est = similarity(sig[own, None], sig[None, s:e])
