@@ -10,17 +10,19 @@ Text is read as tokens: words (A-Z folded) and one end a text. Every token becom
   decision's probability is the share of light tokens that occurred once. Both ways are added up, so that all
   probabilities sum to one at most. Spelling depends on the word alone, so it is done once for all its occurrences.
 For each bit the predictions are stretched and summed with weights that a gate selects by how often the longer contexts
-were seen; the weights are learned online by gradient steps, and a last table, learned the same way, corrects the mixed
-probability.
+were seen; the weights are learned by a step after each part of the training rows, and a last table, learned on the way, corrects
+the mixed probability.
 
 How the corpus is read:
 1. Every text's tokens are counted, in each task first, then by token: a row for each distinct token with its
    count in the training texts (0 where only other texts hold it). Heavy tokens, HEAVY at most, get their codes.
 2. Counters are summed over all training texts (code bits) and over all distinct training tokens (spelling is for new
    words, so each counts once), by slot. A table has 2 ^ bits slots a context, where bits follows the number of distinct
-   tokens between MIN_BITS and MAX_BITS (a documented memory bound: 16 MB a table). The mixers learn
-   from at most MIX_SAMPLE tokens (a documented bound: distinct tokens, or texts, first in hash order), with their own
-   occurrence left out of the counters.
+   tokens between MIN_BITS and MAX_BITS (a documented memory bound: 16 MB a table). The mixers learn from every bit of
+   the same rows, once, with its own occurrence left out of the counters: the rows are dealt by hash to parts that grow to
+   three quarters of them all (PARTS), tasks sum gradients, Hessians and the correcting table's cells over a part at the
+   weights that the parts before gave, and the driver gets these sums alone (SUMS numbers) and makes a Newton step over all
+   parts so far.
 3. Each distinct light token gets its log-probability after an escape.
 4. Texts sum their code bits in one pass, and ask for counts and log-probabilities of light tokens by hash bucket, packed
    a chunk of texts and bucket; only sums by text come back. No light token has more than its share, so no bucket is hot.
@@ -50,7 +52,10 @@ END = b"\n"
 MIN_BITS, MAX_BITS = 12, 18
 ORDERS = 4
 GATES, BINS = 8 * 4, 33
-MIX_SAMPLE = 30_000
+#: Where the parts end from which the mixers learn in turn, in sixteenths of all training rows.
+PARTS = (1, 4, 16)
+#: Sums of a part: by gate a gradient and a Hessian, by cell of the correcting table ones, bits and predictions.
+SUMS = GATES * ORDERS * (1 + ORDERS) + 3 * GATES * BINS
 HEAVY = 200_000
 #: Tokens of a bucket, about; buckets grow with the corpus.
 BUCKET_TOKENS = 4_000_000
@@ -266,9 +271,8 @@ def _counters(pieces, codes, bits: int):
         table = np.zeros(2 * ORDERS << bits, np.int64)
         for batch in batches:
             for piece in pieces(batch, codes):
-                events = [(slots * 2 + bit).ravel() for slots, bit, _ in piece.bits(bits)]
-                if events:
-                    table += np.bincount(np.concatenate(events), minlength=len(table))
+                for slots, bit, _ in piece.bits(bits):
+                    np.add.at(table, (slots * 2 + bit).ravel(), 1)
         n0, n1 = table[::2], table[1::2]
         at = np.flatnonzero(n0 + n1)
         for s in range(0, len(at), 100_000):
@@ -300,6 +304,37 @@ def _bin(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * 2), -16, 16).astype(np.int64) + 16
 
 
+class LeftOut:
+    """The counters' inputs and levels with one occurrence of a bit left out: of a 0 by slot, then of a 1 by slot."""
+
+    def __init__(self, n0: np.ndarray, n1: np.ndarray):
+        a, b = np.concatenate([np.maximum(n0 - 1, 0), n0]), np.concatenate([n1, np.maximum(n1 - 1, 0)])
+        self.x = _stretch(a, b).astype(np.float32)
+        self.longest, self.before = (x.astype(np.uint8) for x in _levels(a + b))
+
+
+def _sums(piece, left: LeftOut, weights: np.ndarray, bits: int) -> np.ndarray:
+    """The piece's SUMS at these weights; bits are sorted by gate, so that a gate's sums are products of matrices."""
+    step, bend, cells = np.zeros((GATES, ORDERS)), np.zeros((GATES, ORDERS, ORDERS)), np.zeros((3, GATES * BINS))
+    weights = weights.astype(np.float32)
+    for slots, bit, _ in piece.bits(bits):
+        at = slots + bit * np.int64(ORDERS << bits)
+        g = np.take(left.longest, at[3], mode="clip") + np.take(left.before, at[2], mode="clip")
+        by = np.argsort(g, kind="stable")
+        x, y = np.take(np.take(left.x, at, mode="clip"), by, axis=1), np.take(bit, by).astype(np.float32)
+        n = np.bincount(g, minlength=GATES)
+        gates = [(k, slice(e - n[k], e)) for k, e in enumerate(np.cumsum(n)) if n[k]]
+        z = np.concatenate([weights[k] @ x[:, s] for k, s in gates])
+        p = _squash(z)
+        cell = np.repeat(np.arange(GATES) * BINS, n) + _bin(z)
+        cells += [np.bincount(cell, v, GATES * BINS) for v in (y, None, p)]
+        err, curved, x = (y - p).astype(float), (x * (p * (1 - p))).astype(float), x.astype(float)
+        for k, s in gates:
+            step[k] += x[:, s] @ err[s]
+            bend[k] += curved[:, s] @ x[:, s].T
+    return np.concatenate([step.ravel(), bend.ravel(), cells.ravel()])
+
+
 class Mixer:
     """Counters, gated weights and the correcting table."""
 
@@ -309,37 +344,29 @@ class Mixer:
         self.longest, self.before = (x.astype(np.uint8) for x in _levels(n0 + n1))
         self.weights = np.full((GATES, ORDERS), 1.0 / ORDERS)
         self.table = np.tile(_squash((np.arange(BINS) - 16) / 2.0), (GATES, 1))
-
-    def learn(self, pieces, n0: np.ndarray, n1: np.ndarray, rate: float = 0.02, batch: int = 2048) -> None:
-        """Online steps over the pieces' bits with one occurrence left out, then the correcting table."""
-        xs, ys, gs = [], [], []
-        for piece in pieces:
-            for slots, bit, _ in piece.bits(self.size):
-                a, b = np.maximum(n0[slots] - (bit == 0), 0), np.maximum(n1[slots] - (bit == 1), 0)
-                xs.append(_stretch(a, b).T.astype(np.float32))
-                gs.append(_gate((a + b)[2], (a + b)[3]))
-                ys.append(bit.astype(np.float32))
-        if not xs:
-            return
-        x, y, g = np.concatenate(xs), np.concatenate(ys), np.concatenate(gs)
-        order = np.random.default_rng(5).permutation(len(y))
-        speed = np.full((GATES, ORDERS), 1e-3)
-        for s in range(0, len(y), batch):
-            k = order[s : s + batch]
-            err = y[k] - _squash((self.weights[g[k]] * x[k]).sum(1))
-            step = err[:, None] * x[k]
-            total = np.stack([np.bincount(g[k], step[:, j], GATES) for j in range(ORDERS)], 1)
-            seen = np.maximum(np.bincount(g[k], minlength=GATES), 1)[:, None]
-            move = total / seen
-            speed += move * move
-            self.weights += rate * move / np.sqrt(speed / (1 + s / batch))
-        z = (self.weights[g] * x).sum(1)
-        cell = g * BINS + _bin(z)
+        # all parts so far: Hessians, Hessians by weights plus gradients, cells; a gate that no bit comes to keeps its weights
+        self.bend = np.tile(np.eye(ORDERS), (GATES, 1, 1))
+        self.pull, self.cells = self.weights.copy(), np.zeros((3, GATES * BINS))
+
+    def step(self, sums: np.ndarray) -> None:
+        """A Newton step over this part, whose sums are at the present weights, and all before."""
+        step, bend, cells = np.split(sums, [GATES * ORDERS, GATES * ORDERS * (1 + ORDERS)])
+        bend = bend.reshape(GATES, ORDERS, ORDERS)
+        self.pull += (bend @ self.weights[:, :, None])[:, :, 0] + step.reshape(GATES, ORDERS)
+        self.bend += bend
+        self.cells += cells.reshape(3, -1)
+        # rounded, so that the order in which tasks are summed does not show
+        self.weights = np.round(np.linalg.solve(self.bend, self.pull[:, :, None])[:, :, 0], 9)
         prior = 4.0
-        p = _squash(z)
-        one, all_, near = (np.bincount(cell, v, GATES * BINS) for v in (y, np.ones(len(y)), p))
-        mean = np.where(all_ > 0, near / np.maximum(all_, 1e-9), self.table.ravel())
-        self.table = ((one + prior * mean) / (all_ + prior)).reshape(GATES, BINS)
+        one, all_, near = self.cells
+        plain = np.tile(_squash((np.arange(BINS) - 16) / 2.0), GATES)
+        mean = np.where(all_ > 0, near / np.maximum(all_, 1e-9), plain)
+        self.table = np.round((one + prior * mean) / (all_ + prior), 9).reshape(GATES, BINS)
+
+    def learn(self, pieces, n0: np.ndarray, n1: np.ndarray) -> None:
+        """One step over pieces that are at hand; n0 and n1 are the counters."""
+        left = LeftOut(n0, n1)
+        self.step(sum((_sums(piece, left, self.weights, self.size) for piece in pieces), np.zeros(SUMS)))
 
     def log10(self, piece, n: int) -> np.ndarray:
         """log10 probability of the bits of each of the piece's n owners."""
@@ -371,31 +398,46 @@ def _summed(rows: DataFrame, pieces, codes, bits: int) -> tuple[np.ndarray, np.n
     return n0, n1
 
 
-def train_spelling(vocab: DataFrame, bits: int) -> Mixer:
-    known = vocab.filter("n > 0").select("token")
-    n0, n1 = _summed(known, _spellings, None, bits)
-    mixer = Mixer(n0, n1, bits)
-    tokens = [bytes(r.token) for r in known.orderBy(F.xxhash64("token"), "token").limit(MIX_SAMPLE).collect()]
-    mixer.learn((Spelling(tokens[s:e]) for s, e in chunks(tokens, 200_000)), n0, n1)
-    return mixer
+def _part_sums(pieces, codes, left, weights: np.ndarray, bits: int):
+    def sums(batches):
+        """(at, v): one task's SUMS."""
+        total = np.zeros(SUMS)
+        for batch in batches:
+            for piece in pieces(batch, codes):
+                total += _sums(piece, left.value, weights, bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
+
+    return sums
 
 
-def train_running(docs: DataFrame, codes: Codes, bits: int, tokens: int) -> Mixer:
-    """tokens: of all training texts. The mixer learns from the first texts in hash order, about MIX_SAMPLE tokens, none longer than that."""
-    known = docs.filter(~held_out()).select("text")
-    n0, n1 = _summed(known, _runnings, codes, bits)
+def _train(rows: DataFrame, column: str, key, pieces, codes, bits: int) -> Mixer:
+    """Counters and mixer of all rows; key deals them to the parts."""
+    n0, n1 = _summed(rows.select(column), pieces, codes, bits)
     mixer = Mixer(n0, n1, bits)
-    # of even hashes, those below the share of MIX_SAMPLE in all tokens; each brings its number of tokens
-    own = known.select("text", F.xxhash64("text").alias("h"), (F.size(F.split("text", r"\s+")) + 1).alias("n")).filter((F.col("h") / 2.0**64 + 0.5 <= 2.0 * MIX_SAMPLE / max(tokens, 1)) & (F.col("n") <= MIX_SAMPLE))
-    texts, left = [], MIX_SAMPLE
-    for r in own.dropDuplicates(["h"]).orderBy("h").limit(MIX_SAMPLE // 8).collect():
-        if left > 0:
-            texts.append(_fold(r.text))
-            left -= r.n
-    mixer.learn((Running(texts[s:e], codes) for s, e in chunks(texts)), n0, n1)
+    left = rows.sparkSession.sparkContext.broadcast(LeftOut(n0, n1))
+    del n0, n1
+    lot = F.pmod(key, F.lit(PARTS[-1]))
+    for start, end in zip((0, *PARTS), PARTS):
+        part = rows.filter((lot >= start) & (lot < end)).select(column)
+        got = part.mapInArrow(_part_sums(pieces, codes, left, mixer.weights, bits), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        sums = np.zeros(SUMS)
+        sums[got.column("at").to_numpy()] = got.column("v").to_numpy()
+        mixer.step(sums)
+    left.destroy()
     return mixer
 
 
+def train_spelling(vocab: DataFrame, bits: int) -> Mixer:
+    """From all distinct training tokens, each once."""
+    return _train(vocab.filter("n > 0"), "token", F.xxhash64("token"), _spellings, None, bits)
+
+
+def train_running(docs: DataFrame, codes: Codes, bits: int) -> Mixer:
+    """From all training texts."""
+    return _train(docs.filter(~held_out()), "text", F.xxhash64("doc_id", "text"), _runnings, codes, bits)
+
+
 def light_log10(mixer: Mixer, tokens: list[bytes], n: np.ndarray, total: int, new: float) -> np.ndarray:
     """log10 of (1 - new) * share of the light training tokens + new * spelled."""
     spelled = mixer.spelled(tokens) + np.log10(new)
@@ -500,7 +542,7 @@ def score(docs: DataFrame) -> DataFrame:
     new = min(max(once, 1) / rest, 0.5) if rest else 1.0
     codes = Codes(token_hashes([t for t, _ in heavy]), np.array([n for _, n in heavy], np.int64), rest)
     bits = table_bits(distinct, len(codes.keys))
-    spelling, running = train_spelling(vocab, bits), train_running(docs, codes, bits, total)
+    spelling, running = train_spelling(vocab, bits), train_running(docs, codes, bits)
     buckets = max(8, -(-total // BUCKET_TOKENS))
     rated = light.mapInArrow(_rated(spelling, buckets, rest, new), "bucket int, h long, n long, lp double")
     if not len(codes.keys) or 0 not in codes.keys:  # an end that no training text has is light

@@ -582,6 +582,53 @@ def test_code_bits_against_a_plain_mixer():
         assert abs(total - got[d]) < 1e-4 * max(1, abs(total))
 
 
+def test_mixers_learn_from_every_bit_of_all_training_rows(spark):
+    rng = random.Random(8)
+    words = [f"w{min(int(rng.expovariate(0.2)), 40)}" for _ in range(45_000)]
+    # the first text alone has more tokens than any bounded sample took
+    texts = [" ".join(words[:40_000]), None, "", *[" ".join(words[i : i + 40]) for i in range(40_000, 45_000, 40)] * 2]
+    df = docs_of(spark, texts).filter("doc_id > 0").union(spark.createDataFrame([(next(i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 7 != 2), texts[0], "en", "a", 1)], SCHEMA))
+    train = [(r.text or "").encode().lower() for r in df.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    n = Counter(w for t in train for w in [*t.split(), lm.END])
+    heavy = [w for w in n if n[w] >= 20]
+    codes = lm.Codes(lm.token_hashes(heavy), np.array([n[w] for w in heavy]), sum(k for k in n.values() if k < 20))
+    size = dict(zip(codes.keys.tolist(), codes.size.tolist()))
+    total = sum(k * size.get(int(h), int(codes.size[-1])) for k, h in zip(n.values(), lm.token_hashes(list(n))))
+    few, many = (lm.train_running(df.repartition(k), codes, 14) for k in (2, 7))
+    assert few.cells[1].sum() == many.cells[1].sum() == total  # each bit of each text, once
+    assert np.allclose(few.weights, many.weights, atol=1e-5) and np.allclose(few.table, many.table, atol=1e-3)
+    assert np.abs(few.weights - 1 / lm.ORDERS).max() > 0.05
+    # 40,000 distinct tokens, and some that no training text has
+    tokens = [f"t{i}x".encode() for i in range(40_000)]
+    spelling = lm.train_spelling(spark.createDataFrame([(t, 1) for t in tokens] + [(b"new", 0)], "token binary, n long"), 12)
+    assert spelling.cells[1].sum() == sum(8 * (len(t) + 1) for t in tokens)
+
+
+def test_sums_of_the_mixer_against_a_plain_loop():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}".encode() for i in range(9)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 9, 12)) for _ in range(5)]
+    codes = lm.Codes(lm.token_hashes(words[:6]), np.array([9, 8, 7, 6, 5, 4]), 11)
+    bits = 12
+    n0, n1 = rng.integers(0, 40, (2, lm.ORDERS << bits)).astype(float)
+    weights = rng.normal(0.3, 0.2, (lm.GATES, lm.ORDERS))
+    piece = lm.Running(texts, codes)
+    step, bend, cells = np.zeros((lm.GATES, lm.ORDERS)), np.zeros((lm.GATES, lm.ORDERS, lm.ORDERS)), np.zeros((3, lm.GATES, lm.BINS))
+    for slots, bit, _ in piece.bits(bits):
+        for i, y in enumerate(bit):
+            a = [max(n0[s] - (y == 0), 0) for s in slots[:, i]]
+            b = [max(n1[s] - (y == 1), 0) for s in slots[:, i]]
+            g = min(int(np.log2(a[3] + b[3] + 1)), 7) * 4 + min(int(np.log2(a[2] + b[2] + 1)) // 4, 3)
+            x = np.log((np.array(b) + 0.4) / (np.array(a) + 0.4))
+            z = float(weights[g] @ x)
+            p = 1 / (1 + np.exp(-z))
+            step[g] += (y - p) * x
+            bend[g] += p * (1 - p) * np.outer(x, x)
+            cells[:, g, int(np.clip(np.rint(z * 2), -16, 16)) + 16] += [y, 1, p]
+    got = lm._sums(piece, lm.LeftOut(n0, n1), weights, bits)
+    assert np.allclose(got, np.concatenate([step.ravel(), bend.ravel(), cells.ravel()]), atol=1e-3)
+
+
 def test_spelled_probabilities_sum_to_one_at_most():
     rng = np.random.default_rng(0)
     m = lm.Mixer(*rng.integers(0, 9, (2, lm.ORDERS << 12)).astype(float), 12)
