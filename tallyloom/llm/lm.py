@@ -17,7 +17,7 @@ How the corpus is read:
 1. Every text's tokens are counted, in each task first, then by token: a row for each distinct token with its
    count in the training texts (0 where only other texts hold it). Heavy tokens, HEAVY at most, get their codes.
 2. Counters are summed over all training texts (code bits) and over all distinct training tokens (spelling is for new
-   words, so each counts once), by slot. A table has 2 ^ bits slots a context, where bits follows the number of distinct
+   words, so each counts once); a task sends them packed, SPAN slots a row. A table has 2 ^ bits slots a context, where bits follows the number of distinct
    tokens between MIN_BITS and MAX_BITS (a documented memory bound: 16 MB a table). The mixers learn from every bit of
    the same rows, once, with its own occurrence left out of the counters: the rows are dealt by hash to parts that grow to
    three quarters of them all (PARTS), tasks sum gradients, Hessians and the correcting table's cells over a part at the
@@ -41,11 +41,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import chunks, materialize, sliced
-from tallyloom.llm.neardup import word_hashes
+from tallyloom.llm.neardup import _mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
@@ -57,6 +58,10 @@ PARTS = (1, 4, 16)
 #: Sums of a part: by gate a gradient and a Hessian, by cell of the correcting table ones, bits and predictions.
 SUMS = GATES * ORDERS * (1 + ORDERS) + 3 * GATES * BINS
 HEAVY = 200_000
+#: Bits that are worked on at a time, and bytes that are spelled: many, so that a context's part of a table stays in a core's cache.
+BLOCK = 1 << 18
+#: Slots of a row in which a task sends its counters, and events of a context that it gathers before it counts them.
+SPAN, EVENTS = 4096, 1 << 20
 #: Tokens of a bucket, about; buckets grow with the corpus.
 BUCKET_TOKENS = 4_000_000
 _U = np.uint64
@@ -65,6 +70,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _ORDER = _rng.integers(1, 2**63, ORDERS, dtype=np.uint64)
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _M, _N = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: Masks that keep the first bytes of eight, and the length from which a word's bytes are hashed by the generic way.
+_KEEP, LONG = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 64
 _LN10 = float(np.log(10))
 
 
@@ -82,26 +89,31 @@ def held_out():
 
 def _count(batches):
     """(token, n): n counts training texts only; given out whenever 300,000 distinct tokens have gathered."""
-    seen: Counter = Counter()
-    other: set = set()
+    parts, waiting = [], 0
 
-    def out():
-        rest = [t for t in other if t not in seen]
-        return pa.RecordBatch.from_arrays([pa.array([*seen, *rest], pa.binary()), pa.array([*seen.values(), *[0] * len(rest)], pa.int64())], ["token", "n"])
+    def merged():
+        rows = pa.concat_tables(parts).group_by("token").aggregate([("n", "sum")])
+        return pa.table([rows.column("token"), rows.column("n_sum")], ["token", "n"]).combine_chunks()
 
-    for batch in sliced(batches):
-        for held, text in zip(batch.column("held").to_pylist(), batch.column("text").to_pylist()):
-            words = _fold(text).split()
+    for batch in sliced(batches, 2048):
+        for held in (True, False):
+            texts = batch.column("text").filter(pc.equal(batch.column("held"), held))
+            counts = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(texts))).value_counts()
+            token, n = counts.field(0).cast(pa.binary()), counts.field(1)
             if held:
-                other.update(words)
-            else:
-                seen.update(words)
-                seen[END] += 1
-            if len(seen) + len(other) > 300_000:
-                yield out()
-                seen, other = Counter(), set()
-    if seen or other:
-        yield out()
+                n = pa.array(np.zeros(len(n), np.int64))
+            parts.append(pa.table([token, n], ["token", "n"]).filter(pc.not_equal(token, b"")))
+            if len(texts) and not held:
+                parts.append(pa.table([pa.array([END], pa.binary()), pa.array([len(texts)], pa.int64())], ["token", "n"]))
+            waiting += len(counts) + 1
+        if waiting > 600_000:
+            parts = [merged()]
+            waiting = len(parts[0])
+            if waiting > 300_000:
+                yield from parts[0].to_batches()
+                parts, waiting = [], 0
+    if parts:
+        yield from merged().to_batches()
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -110,13 +122,37 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("token").agg(F.sum("n").alias("n")))
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and each text's number of words; words are read eight bytes at a time."""
+    joined = b" ".join([b"", *texts, b" " * 16])
+    joined = joined[: len(joined) // 8 * 8]
+    b, eight = np.frombuffer(joined, np.uint8), np.frombuffer(joined, np.uint64)
+    gap = (b - np.uint8(9) < np.uint8(5)) | (b == np.uint8(32))
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    first, last = edge[::2], edge[1::2]
+    size = last - first
+
+    def window(at):
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (np.take(eight, word) >> shift) | ((np.take(eight, word + 1) << _U(1)) << (_U(63) - shift))
+
+    h = _mix((window(first) & np.take(_KEEP, np.minimum(size, 8))) + size.astype(np.uint64) * _P)
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < LONG:
+        h[more] = _mix(h[more] * _Q + (window(first[more] + k) & np.take(_KEEP, np.minimum(size[more] - k, 8))))
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        h[more] = word_hashes([joined[x:y] for x, y in zip(first[more].tolist(), last[more].tolist())])[0]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h.view(np.int64), np.diff(np.searchsorted(first, ends, side="right"), prepend=0)
+
+
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
-    """The hashes that word_hashes gives the same tokens in a text; the end, which is no word, has its own."""
+    """The hashes that the same tokens have in a text; the end, which is no word, has its own."""
     out = np.zeros(len(tokens), np.int64)
     at = [i for i, t in enumerate(tokens) if t != END]
-    if at:
-        h, _ = word_hashes([tokens[i] for i in at])
-        out[at] = h.view(np.int64)
+    out[at] = _words([tokens[i] for i in at])[0]
     return out
 
 
@@ -166,13 +202,13 @@ class Spelling:
         val = _BYTE[b] * power[place]
         run = np.cumsum(val) - val
         ctx[3] = run - run[starts][self.owner]
-        self.ctx, self.b = _contexts(ctx), b
+        self.ctx, self.b, self.who = _contexts(ctx), b, self.owner
 
     def bits(self, bits: int):
-        """(slots, bit, token number) for each of the bytes' eight bits, the highest first."""
+        """(slots, bit, which bytes) for each of the bytes' eight bits, the highest first."""
         for i in range(8):
             node = (_U(1) << _U(i)) | (self.b >> np.uint8(8 - i) if i else np.zeros_like(self.b)).astype(np.uint64)
-            yield _slots(self.ctx, node, bits), (self.b >> np.uint8(7 - i)) & np.uint8(1), self.owner
+            yield _slots(self.ctx, node, bits), (self.b >> np.uint8(7 - i)) & np.uint8(1), slice(None)
 
 
 def huffman(counts: list[int]) -> list[tuple[int, int]]:
@@ -205,21 +241,32 @@ class Codes:
         got = huffman([*self.n.tolist(), light + 1])
         self.code = np.array([c for c, _ in got], np.int64)
         self.size = np.array([n for _, n in got], np.int64)
+        # where the keys begin that share their first bits, and how many do at most
+        self.shift = 64 - (len(self.keys).bit_length() + 3)
+        n = np.bincount(self._head(self.keys), minlength=1 << (64 - self.shift))
+        self.first, self.most = (np.cumsum(n) - n).astype(np.int32), int(n.max())
+
+    def _head(self, h: np.ndarray) -> np.ndarray:
+        return (h >> self.shift) + (1 << (63 - self.shift))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash's symbol; that of the escape for light tokens."""
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, len(self.keys))
+        at = np.take(self.first, self._head(h)).astype(np.int64)
+        for _ in range(self.most):
+            at += np.take(self.keys, at, mode="clip") < h
+        return np.where(np.take(self.keys, at, mode="clip") == h, at, len(self.keys))
 
 
 def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of all tokens in order, each text's end (hash 0) included."""
-    h, doc = word_hashes(texts)
-    n = np.bincount(doc, minlength=len(texts))
-    out, who = np.zeros(len(h) + len(texts), np.int64), np.repeat(np.arange(len(texts)), n + 1)
-    out[np.arange(len(h)) + doc] = h.view(np.int64)
+    h, n = _words(texts)
+    who = np.repeat(np.arange(len(texts)), n + 1)
+    out, ends = np.zeros(len(who), np.int64), np.cumsum(n + 1) - 1
+    word = np.ones(len(who), bool)
+    word[ends] = False
+    out[word] = h
     return out, who
 
 
@@ -230,31 +277,40 @@ class Running:
         self.h, self.owner = sequence(texts)
         self.symbol = codes.find(self.h)
         n = len(self.h)
-        at = np.arange(n)
-        start = np.flatnonzero(np.diff(self.owner, prepend=-1))[self.owner]  # of each token's text
-        mark = np.where(self.symbol < len(codes.keys), at, -1)
-        last = np.concatenate([[-1], np.maximum.accumulate(mark)[:-1]]) if n else mark
-        before = np.where(last >= 0, last[np.maximum(last, 0)], -1)
+        at, starts = np.arange(n), np.flatnonzero(np.diff(self.owner, prepend=-1))
+        start = np.take(starts, self.owner)  # of each token's text
+        last = np.empty_like(at)
+        last[:1] = -1
+        np.maximum.accumulate(np.where(self.symbol < len(codes.keys), at, -1)[:-1], out=last[1:])
+        before = np.take(last, last, mode="clip")  # the first token has no last one, and so none before
         x = self.h.view(np.uint64) + _U(1)
-        pick = lambda i: np.where(i >= start, x[np.maximum(i, 0)], _U(0))
-        one, two = pick(at - 1), pick(at - 2)
-        ctx = np.stack([np.zeros(n, np.uint64), pick(last), pick(before) * _P, (one * _P + two) * _Q])
+        pick = lambda i: np.where(i >= start, np.take(x, i, mode="clip"), _U(0))
+        one, two = np.zeros_like(x), np.zeros_like(x)
+        one[1:], two[2:] = x[:-1], x[:-2]
+        one[starts] = two[starts] = 0
+        two[np.minimum(starts + 1, n - 1)] = 0
         # by falling code length, so that the tokens with a j-th bit are the first ones
-        size = codes.size[self.symbol]
-        by = np.argsort(-size, kind="stable")
-        self.ctx, self.code, self.size, self.who = _contexts(ctx[:, by]), codes.code[self.symbol[by]], size[by], self.owner[by]
+        size = np.take(codes.size.astype(np.uint8), self.symbol)
+        by = np.argsort(~size, kind="stable")
+        symbol = np.take(self.symbol, by)
+        ctx = _contexts(np.stack([np.zeros(n, np.uint64), pick(last), pick(before) * _P, (one * _P + two) * _Q]))
+        self.ctx = np.stack([np.take(x, by) for x in ctx])
+        self.size, self.who = np.take(size, by).astype(np.uint32), np.take(self.owner, by)
+        self.path = np.take(((1 << codes.size) | codes.code).astype(np.uint32), symbol)  # a code word behind a 1
 
     def bits(self, bits: int):
-        """(slots, bit, text number) of all first bits, then of all second bits, and so on."""
+        """(slots, bit, which tokens) of all first bits, then of all second bits, and so on, BLOCK at a time."""
         for j in range(int(self.size.max(initial=0))):
             n = int(np.count_nonzero(self.size > j))
-            left = self.size[:n] - j
-            yield _slots(self.ctx[:, :n], (1 << j) | (self.code[:n] >> left), bits), (self.code[:n] >> (left - 1)) & 1, self.who[:n]
+            for s in range(0, n, BLOCK):
+                e = min(s + BLOCK, n)
+                path = self.path[s:e] >> (self.size[s:e] - np.uint32(j + 1))  # with its j-th bit last
+                yield _slots(self.ctx[:, s:e], path >> np.uint32(1), bits), (path & np.uint32(1)).astype(np.uint8), slice(s, e)
 
 
 def _spellings(batch, _codes):
     tokens = batch.column("token").to_pylist()
-    for s, e in chunks(tokens, 200_000):
+    for s, e in chunks(tokens, BLOCK):
         yield Spelling(tokens[s:e])
 
 
@@ -267,37 +323,67 @@ def _runnings(batch, codes):
 
 def _counters(pieces, codes, bits: int):
     def count(batches):
-        """(slot, n0, n1) over one task's rows."""
-        table = np.zeros(2 * ORDERS << bits, np.int64)
+        """(span, n) over one task's rows: of SPAN slots the zeros and ones by slot."""
+        table = np.zeros((ORDERS, 2 << bits), np.int64)
+        events, waiting = [], 0
+
+        def flush():
+            for k in range(ORDERS):
+                table[k] += np.bincount(np.concatenate([x[k] for x in events]), minlength=2 << bits)
+            events.clear()
+
         for batch in batches:
             for piece in pieces(batch, codes):
                 for slots, bit, _ in piece.bits(bits):
-                    np.add.at(table, (slots * 2 + bit).ravel(), 1)
-        n0, n1 = table[::2], table[1::2]
-        at = np.flatnonzero(n0 + n1)
-        for s in range(0, len(at), 100_000):
-            k = at[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n0[k]), pa.array(n1[k])], ["slot", "n0", "n1"])
+                    at = (slots << 1) + bit
+                    at &= (2 << bits) - 1
+                    events.append(at.astype(np.int32))
+                    waiting += len(bit)
+                    if waiting >= EVENTS:
+                        flush()
+                        waiting = 0
+        if events:
+            flush()
+        rows = table.reshape(-1, 2 * SPAN)
+        at = np.flatnonzero(rows.any(axis=1))
+        for s in range(0, len(at), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 64].astype(np.int32)), pa.array([rows[i].tobytes() for i in at[s : s + 64]], pa.binary())], ["span", "n"])
 
     return count
 
 
+def _add_spans(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(2 * SPAN, np.int64)
+    for x in rows["n"]:
+        total += np.frombuffer(x, np.int64)
+    return pd.DataFrame({"span": rows["span"].iloc[:1], "n": [total.tobytes()]})
+
+
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.4) / (n0 + 0.4))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    y = np.clip(x, -20, 20)
+    np.exp(np.negative(y, out=y), out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
-def _levels(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often a context was seen, in 8 levels (for the longest one) and in 4 (for the one before)."""
-    a = np.log2(total + 1).astype(np.int16)
-    return np.minimum(a, 7) * 4, np.minimum(a // 4, 3)
+def _inputs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The stretched predictions. The last bits of those of the longest context and of the one before are how often that was
+    seen, in 8 and in 4 levels, so that one look-up brings both."""
+    x = _stretch(n0, n1).astype(np.float32)
+    word, seen = x.view(np.uint32).reshape(ORDERS, -1), np.log2(n0 + n1 + 1).astype(np.uint32).reshape(ORDERS, -1)
+    word[2:] &= ~np.uint32(7)
+    word[3] |= np.minimum(seen[3], np.uint32(7))
+    word[2] |= np.minimum(seen[2] // np.uint32(4), np.uint32(3))
+    return x
 
 
-def _gate(before: np.ndarray, longest: np.ndarray) -> np.ndarray:
-    return _levels(longest)[0] + _levels(before)[1]
+def _gate(x: np.ndarray) -> np.ndarray:
+    word = x.view(np.uint32)
+    return (((word[3] & np.uint32(7)) << np.uint32(2)) | (word[2] & np.uint32(3))).astype(np.uint8)
 
 
 def _bin(x: np.ndarray) -> np.ndarray:
@@ -305,34 +391,46 @@ def _bin(x: np.ndarray) -> np.ndarray:
 
 
 class LeftOut:
-    """The counters' inputs and levels with one occurrence of a bit left out: of a 0 by slot, then of a 1 by slot."""
+    """The counters' inputs with one occurrence of a bit left out, of a 0 and of a 1 by slot in turn."""
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray):
-        a, b = np.concatenate([np.maximum(n0 - 1, 0), n0]), np.concatenate([n1, np.maximum(n1 - 1, 0)])
-        self.x = _stretch(a, b).astype(np.float32)
-        self.longest, self.before = (x.astype(np.uint8) for x in _levels(a + b))
+        self.x = _inputs(np.stack([np.maximum(n0 - 1, 0), n0], 1).ravel(), np.stack([n1, np.maximum(n1 - 1, 0)], 1).ravel())
 
 
 def _sums(piece, left: LeftOut, weights: np.ndarray, bits: int) -> np.ndarray:
-    """The piece's SUMS at these weights; bits are sorted by gate, so that a gate's sums are products of matrices."""
-    step, bend, cells = np.zeros((GATES, ORDERS)), np.zeros((GATES, ORDERS, ORDERS)), np.zeros((3, GATES * BINS))
+    """The piece's SUMS at these weights; bits are sorted by gate, so that a gate's sums are a product of matrices."""
+    both, cells, near = np.zeros((GATES, ORDERS + 1, ORDERS)), np.zeros(2 * GATES * BINS), np.zeros(GATES * BINS)
     weights = weights.astype(np.float32)
     for slots, bit, _ in piece.bits(bits):
-        at = slots + bit * np.int64(ORDERS << bits)
-        g = np.take(left.longest, at[3], mode="clip") + np.take(left.before, at[2], mode="clip")
-        by = np.argsort(g, kind="stable")
-        x, y = np.take(np.take(left.x, at, mode="clip"), by, axis=1), np.take(bit, by).astype(np.float32)
+        slots += slots
+        slots += bit
+        x = np.take(left.x, slots, mode="clip")
+        g = _gate(x)
         n = np.bincount(g, minlength=GATES)
-        gates = [(k, slice(e - n[k], e)) for k, e in enumerate(np.cumsum(n)) if n[k]]
-        z = np.concatenate([weights[k] @ x[:, s] for k, s in gates])
+        by = np.argsort(g, kind="stable")
+        x, y = np.take(np.ascontiguousarray(x.T), by, axis=0), np.take(bit, by)
+        gates = [(k, slice(e - n[k], e)) for k, e in enumerate(np.cumsum(n).tolist()) if n[k]]
+        z = np.empty(len(y), np.float32)
+        for k, s in gates:
+            np.matmul(x[s], weights[k], out=z[s])
         p = _squash(z)
-        cell = np.repeat(np.arange(GATES) * BINS, n) + _bin(z)
-        cells += [np.bincount(cell, v, GATES * BINS) for v in (y, None, p)]
-        err, curved, x = (y - p).astype(float), (x * (p * (1 - p))).astype(float), x.astype(float)
+        cell = _bin(z)
+        cell += np.repeat(np.arange(GATES) * BINS, n)
+        near += np.bincount(cell, p, GATES * BINS)
+        cell += cell
+        cell += y
+        cells += np.bincount(cell, minlength=2 * GATES * BINS)
+        # of each bit its inputs times the curvature, and its error; sums are in double precision
+        row = np.empty((ORDERS + 1, len(y)))
+        row[ORDERS] = y - p
+        p *= 1 - p
+        for k in range(ORDERS):
+            row[k] = x[:, k] * p
+        x = x.astype(float)
         for k, s in gates:
-            step[k] += x[:, s] @ err[s]
-            bend[k] += curved[:, s] @ x[:, s].T
-    return np.concatenate([step.ravel(), bend.ravel(), cells.ravel()])
+            both[k] += row[:, s] @ x[s]
+    zeros, ones = cells[::2], cells[1::2]
+    return np.concatenate([both[:, ORDERS].ravel(), both[:, :ORDERS].ravel(), ones, zeros + ones, near])
 
 
 class Mixer:
@@ -340,8 +438,7 @@ class Mixer:
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray, bits: int):
         self.size = bits
-        self.x = _stretch(n0, n1).astype(np.float32)
-        self.longest, self.before = (x.astype(np.uint8) for x in _levels(n0 + n1))
+        self.x = _inputs(n0, n1)
         self.weights = np.full((GATES, ORDERS), 1.0 / ORDERS)
         self.table = np.tile(_squash((np.arange(BINS) - 16) / 2.0), (GATES, 1))
         # all parts so far: Hessians, Hessians by weights plus gradients, cells; a gate that no bit comes to keeps its weights
@@ -370,32 +467,39 @@ class Mixer:
 
     def log10(self, piece, n: int) -> np.ndarray:
         """log10 probability of the bits of each of the piece's n owners."""
-        out = np.zeros(n)
-        weights, table = self.weights.T.astype(np.float32).copy(), self.table.astype(np.float32)
+        likely = np.ones(len(piece.who))  # 27 bits of 2 ** -20 at most
+        weights, table = self.weights.astype(np.float32), self.table.astype(np.float32).ravel()
         low, high = np.float32(2.0**-20), np.float32(1 - 2.0**-20)
-        for slots, bit, owner in piece.bits(self.size):
-            g = (self.longest[slots[3]] + self.before[slots[2]]).astype(np.int64)
-            z = weights[0][g] * self.x[slots[0]]
+        for slots, bit, at in piece.bits(self.size):
+            x = np.take(self.x, slots, mode="clip")
+            g = _gate(x).astype(np.int64)
+            w = np.take(weights, g, axis=0)
+            z = w[:, 0] * x[0]
             for k in range(1, ORDERS):
-                z += weights[k][g] * self.x[slots[k]]
-            p = np.clip((_squash(z) + table[g, _bin(z)]) / 2, low, high)
-            out += np.bincount(owner, np.log(np.where(bit == 1, p, 1 - p)), n)
-        return out / _LN10
+                z += w[:, k] * x[k]
+            g *= BINS
+            g += _bin(z)
+            p = _squash(z)
+            p += np.take(table, g, mode="clip")
+            p *= np.float32(0.5)
+            p = np.clip(p, low, high, out=p)
+            likely[at] *= 1 - np.abs(bit - p)
+        return np.bincount(piece.who, np.log(likely), n) / _LN10
 
     def spelled(self, tokens: list[bytes]) -> np.ndarray:
         out = np.zeros(len(tokens))
-        for s, e in chunks(tokens, 200_000):
+        for s, e in chunks(tokens, BLOCK):
             out[s:e] = self.log10(Spelling(tokens[s:e]), e - s)
         return out
 
 
 def _summed(rows: DataFrame, pieces, codes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters over all rows: ORDERS << bits of them at most reach the driver."""
-    sums = rows.mapInArrow(_counters(pieces, codes, bits), "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    n0, n1 = np.zeros(ORDERS << bits), np.zeros(ORDERS << bits)
-    at = sums.column("slot").to_numpy()
-    n0[at], n1[at] = sums.column("n0").to_numpy(), sums.column("n1").to_numpy()
-    return n0, n1
+    sums = rows.mapInArrow(_counters(pieces, codes, bits), "span int, n binary").groupBy("span").applyInPandas(_add_spans, "span int, n binary").toArrow()
+    n = np.zeros(((ORDERS << bits) // SPAN, SPAN, 2))
+    for span, x in zip(sums.column("span").to_pylist(), sums.column("n").to_pylist()):
+        n[span] = np.frombuffer(x, np.int64).reshape(SPAN, 2)
+    return n[:, :, 0].ravel(), n[:, :, 1].ravel()
 
 
 def _part_sums(pieces, codes, left, weights: np.ndarray, bits: int):

@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import decontaminate, langid, linededup, lm, mixing, neardup, neighbours, pii, repeats, sharding
@@ -604,6 +605,44 @@ def test_mixers_learn_from_every_bit_of_all_training_rows(spark):
     assert spelling.cells[1].sum() == sum(8 * (len(t) + 1) for t in tokens)
 
 
+def test_counters_are_sent_packed_and_agree_with_a_plain_count():
+    rng = np.random.default_rng(7)
+    words = [f"w{i}".encode() for i in range(300)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 300, 400)) for _ in range(20)]
+    codes = lm.Codes(lm.token_hashes(words[:200]), np.arange(1, 201), 11)
+    assert codes.find(lm.token_hashes(words)).tolist() == [codes.keys.tolist().index(h) if h in codes.keys else 200 for h in lm.token_hashes(words)]
+    bits, plain = 14, Counter()
+    pieces = [lm.Running(texts[:10], codes), lm.Running(texts[10:], codes)]
+    for piece in pieces:
+        for slots, bit, _ in piece.bits(bits):
+            plain.update(zip(slots.ravel().tolist(), np.tile(bit, lm.ORDERS).tolist()))
+    got, rows = np.zeros((lm.ORDERS << bits, 2), np.int64), 0
+    for batch in lm._counters(lambda batch, _codes: batch, codes, bits)([pieces[:1], pieces[1:]]):
+        for span, n in zip(*(c.to_pylist() for c in batch.columns)):
+            got[span * lm.SPAN : (span + 1) * lm.SPAN] += np.frombuffer(n, np.int64).reshape(-1, 2)
+            rows += 1
+    assert rows <= (lm.ORDERS << bits) // lm.SPAN < len(plain) // 100  # it was a row for each slot
+    assert {(s, y): int(got[s, y]) for s, y in np.argwhere(got).tolist()} == plain
+
+
+def test_words_are_hashed_and_counted_as_they_are_split():
+    rng = random.Random(3)
+    parts = ["a", "B", "\x00", "é", "É", " ", " ", "\t", "\x0b", "\x0c", "\n", "\r", "\x1c", "\x85"]
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts) if rng.random() < 0.9 else "x" * rng.randint(1, 200) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 8))]
+        held = [rng.random() < 0.4 for _ in texts]
+        split = [(t or "").encode().lower().split() for t in texts]
+        flat = [w for ws in split for w in ws]
+        h, n = lm._words([(t or "").encode().lower() for t in texts])
+        assert n.tolist() == [len(ws) for ws in split] and h.tolist() == lm.token_hashes(flat).tolist()
+        assert len(set(h.tolist())) == len(set(flat))
+        want = Counter({w: 0 for w in flat})
+        for ws, other in zip(split, held):
+            want.update([] if other else [*ws, lm.END])
+        got = list(lm._count([pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(texts, pa.string())], ["held", "text"])]))
+        assert dict(zip(*([x for r in got for x in r.column(c).to_pylist()] for c in ("token", "n")))) == want
+
+
 def test_sums_of_the_mixer_against_a_plain_loop():
     rng = np.random.default_rng(6)
     words = [f"w{i}".encode() for i in range(9)]
