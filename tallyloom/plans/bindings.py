@@ -96,7 +96,7 @@ new AS (SELECT source || '/' || lang || '/' || doc_id || '.md' AS path, text, do
 def pages(spark, sf_dir) -> DataFrame:
     """Paths of URLs without scheme, query and fragment."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "").alias("path"))
+    return p.select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#][^\n]*\z", "").alias("path"))
 
 
 PAGES = r"""paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)"""

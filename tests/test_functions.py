@@ -130,6 +130,29 @@ def test_paths(spark):
     assert one(spark, P.language_of(F.lit("x/Y.PY"))) == "python" and one(spark, P.language_of(F.lit("Makefile"))) is None
 
 
+def test_routes_of_the_pages_router(spark):
+    route = lambda p: one(spark, P.page_route_of(F.lit(p)))
+    assert [route(p) for p in ("index.tsx", "docs/index.tsx", "docs/", "about.tsx", "@u/(g)/page.tsx", "a//b.tsx", "api/users.ts", "9404.tsx", "")] == ["/", "/docs", "/docs", "/about", "/@u/(g)/page", "/a//b", "/api/users", "/9404", "/"]
+    assert [route(p) for p in ("_app.tsx", "_document.tsx", "_error.js", "api.ts", "api/index.ts", None)] == [None] * 6
+
+
+def test_routes_of_urls_are_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+
+    from tallyloom.plans import catalogue
+
+    known = {"http://a.com/en/9404#top": None, "https://a.com/en/3500.html": None, "http://a.com/404/": None, "http://a.com/40400": "/a.com/40400", "http://a.com/500/5.html": "/a.com/500/5", "http://": "/", "http://a.com//5": "/a.com//5", "http://a.com/@u/(g)/_x/page": "/a.com/@u/(g)/_x/page", "http://index.html": "/index", "http://a.com/404?x\r": None}
+    odd = [None, "", "/", "//", "?x", "http://a.com", "http://a.com/404.html/", "http://a.com/404//", "http://a.com/9404.b.html", "http://x404.com", "http://a.com/index/", "http://a.com/index/index", "index/.html", "http://index//", "http://a.com/A.HTML", "http://a.com/5.html\n", "http://a.com/404\n", "http://a.com/a?x\n", "http://a.com/a?b\nc#d", "http://a.com/é404", "http://a.com/_app"]
+    rows = list(enumerate([*known, *odd]))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.route for r in catalogue.QUERIES["f9_route_of"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(known))] == list(known.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert got == dict(con.execute(catalogue.ORACLES["f9_route_of"]).fetchall())
+
+
 def test_eligible_files(spark):
     rows = [("src/a.py", b"x = 1\n"), ("node_modules/a.js", b"x"), ("yarn.lock", b"x"), ("b.min.js", b"x"), ("bin", b"a\x00b"), ("bad.txt", b"\xff\xfe"), ("empty.txt", b""), ("long.txt", b"y" * 70000), ("é.md", "é".encode())]
     df = spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
